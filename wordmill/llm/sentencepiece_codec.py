@@ -220,6 +220,6 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", text_col: st
     @F.pandas_udf("string")
     def texts(ids):
         m = model(model_path)
-        return ids.map(lambda x: None if x is None else m.decode(x.tolist()))
+        return ids.map(lambda x: None if x is None else m.decode(x))
 
     return coded.withColumn(text_col, texts(coded[ids_col]))
