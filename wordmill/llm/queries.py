@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import exact_dedup, mixing, sentencepiece_codec, token_output
+from wordmill.llm import exact_dedup, mixing, sentencepiece_codec, setsketch_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenised(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op4_token_output": op4_token_output,
+    "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
