@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import exact_dedup, mixing, sentencepiece_codec, setsketch_dedup, substring_dedup, token_output
+from wordmill.llm import embedding_dedup, exact_dedup, mixing, sentencepiece_codec, setsketch_dedup, substring_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenised(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.duplicate_spans(_table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op4_token_output": op4_token_output,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
