@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.llm.arrow_slices import slices
 
@@ -239,5 +240,5 @@ def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
             lang, score = classifier.predict([t or "" for t in b.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
