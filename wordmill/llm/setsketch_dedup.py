@@ -42,6 +42,8 @@ BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 MARGIN = 6 * (0.16 / REGISTERS) ** 0.5
 BLOCK = 256
 _PIECE = 512
+#: Bytes of text that are hashed at once.
+SLICE = 3_000_000
 
 _MULTIPLIERS = (mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _BAND_BASE = mixed(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -104,7 +106,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     """id, set size, 128-bit signature of the set, registers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             ns, s1, s2, low = [], [], [], []
             for found in shingle_sets(b.column("text"), size):
                 ns.append(len(found))
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = durable(_clusters(estimated, "likely-clusters"), "likely")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             found = list(shingle_sets(b.column("text"), shingle))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("cluster"), b.column("size"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["rep", "cluster", "size", "n", "set"])
 

@@ -155,7 +155,7 @@ def _factors(words: Words, found: np.ndarray, window: int) -> tuple[np.ndarray,
     data = words.data.copy()
     data[gaps] = 0x20
     take[gaps] = True
-    bounds = np.concatenate([[0], np.cumsum(take)])[words.bounds] if size else np.zeros(len(words.bounds), np.int64)
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(take, dtype=np.int64)])[words.bounds] if size else np.zeros(len(words.bounds), np.int64)
     return counts, spans, removed, (data[take].tobytes(), bounds)
 
 

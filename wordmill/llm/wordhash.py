@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE_BACK = pow(_BYTE_BASE, -1, 1 << 64)
+_BYTES = 1 << 19
 _RUN_BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,7 +26,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, … (n of them)."""
     table = _tables.get(base)
     if table is None or len(table) < n:
-        size = max(n, 1 << 16, 2 * len(table) if table is not None else 0)
+        size = max(1 << (n - 1).bit_length(), 1 << 16)
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
@@ -66,20 +68,31 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(_BYTE_BASE, n), out=total[1:])
-        back = _powers(pow(_BYTE_BASE, -1, 1 << 64), n + 1)
-        return mixed((total[self.ends] - total[self.starts]) * back[self.starts])
+        """One hash per word, in pieces of about ``_BYTES`` bytes so that the sums stay small."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            low = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, low + _BYTES, "right")))
+            n = int(self.ends[j - 1] - low)
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.data[low : low + n].astype(np.uint64) + np.uint64(1)) * _powers(_BYTE_BASE, n), out=total[1:])
+            starts = self.starts[i:j] - low
+            out[i:j] = mixed((total[self.ends[i:j] - low] - total[starts]) * _powers(_BYTE_BACK, n + 1)[starts])
+            i = j
+        return out
 
 
 def runs(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """Hash of every run of ``length`` words; entry i is the run that starts at word i."""
-    n = len(words)
-    if n < length:
-        return np.zeros(0, dtype=np.uint64)
+    n = max(len(words) - length + 1, 0)
+    out = np.empty(n, dtype=np.uint64)
     base = _RUN_BASES[which]
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * _powers(base, n), out=total[1:])
-    back = _powers(pow(base, -1, 1 << 64), n - length + 1)
-    return mixed((total[length:] - total[:-length]) * back + np.uint64(length))
+    step = max(_BYTES, 4 * length)
+    for at in range(0, n, step):
+        here = words[at : min(at + step, n) + length - 1]
+        total = np.zeros(len(here) + 1, dtype=np.uint64)
+        np.cumsum(here * _powers(base, len(here)), out=total[1:])
+        back = _powers(pow(base, -1, 1 << 64), len(here) - length + 1)
+        out[at : at + step] = mixed((total[length:] - total[:-length]) * back + np.uint64(length))
+    return out
