@@ -6,22 +6,16 @@ Only DataFrame functions. Three shuffles matter:
   compares whole byte strings, so two texts that share the 128-bit hash stay apart, and
   the map side sends each distinct text of a task once, however often it occurs;
 * rows travel as (id, 16-byte hash, 32-byte digest), never with their text;
-* a group's answer goes back over (hash, digest, salt). Only the salts that a group
-  really has are made, so a group with a third of all rows spreads over ``SALTS`` tasks
-  and a group of one row still costs one row.
+* a group's answer goes back over (hash, digest, salt), see ``attach``, so a group with a
+  third of all rows spreads over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts that the rows of one group of equal texts are dealt into.
-SALTS = 256
-
-
-def salt_of(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+from wordmill.llm.attach import attach
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -49,12 +43,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed.select("id", "h", F.unhex(F.sha2("body", 256)).alias("s"))
         .groupBy("id", "h", "s")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("salt", salt_of("id"))
     )
-    parts = rows.select("h", "s", "salt").distinct()
-    answers = parts.join(classes, ["h", "s"])
     return (
-        rows.join(answers, ["h", "s", "salt"])
+        attach(rows, classes, ["h", "s"], deal_by="id")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
         .select(
             F.col("id").alias(id_col),

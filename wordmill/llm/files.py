@@ -32,7 +32,10 @@ class TemporaryFile:
         self.size += len(data)
 
     def commit(self) -> None:
+        """An earlier attempt's file of that name is replaced."""
         self._stream.close()
+        if self._fs.get_file_info(self._final).type == fs.FileType.File:
+            self._fs.delete_file(self._final)
         self._fs.move(self._temporary, self._final)
 
     def abandon(self) -> None:
