@@ -7,7 +7,8 @@ rows of (id, source, size).
    ``max_repeats`` times its own size, and what is cut off is shared again by weight.
    That is water filling: with caps sorted by cap/weight the common level is the first
    ``(budget - caps before) / (weights from here on)`` that does not exceed its own
-   ratio, so no loop is needed.
+   ratio. Later ones can only be lower, so it is the largest such value and no loop is
+   needed.
 2. *Order inside a source.* Documents are ordered by the MD5 of their id. The running
    sum is taken in two levels, (source, first hex digits of the MD5) and the rows inside
    such a cell, so one source with a third of all rows spreads over ``16**CELL_DIGITS``
@@ -58,7 +59,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max
         .withColumn("before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("left", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("budget") - F.col("before")).cast("double") / F.col("left"))
-        .withColumn("common", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("common", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     )
     target = F.least(F.coalesce(F.col("common"), F.lit(0.0)) * F.col("weight"), F.col("cap").cast("double"))
     return levels.select("source", "source_size", "weight", target.alias("target"))
@@ -101,10 +102,10 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken, positions.
+    """One row per input row: id, source, size, source_size, target, taken, copies, positions.
 
-    ``positions`` holds one training position for each copy that the mix takes (none to
-    ``max_repeats``), ``taken`` is copies times size. A copy is taken while its middle
+    ``copies`` says how often the mix takes the row (none to ``max_repeats``), ``positions``
+    holds a training position for each, ``taken`` is copies times size. A copy is taken while its middle
     lies below the source's target, so a source misses its target by at most half of
     one document.
 
@@ -128,10 +129,10 @@ def mix(
     within = Window.partitionBy("source", "cell").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("cell_start") + F.sum("size").over(within) - F.col("size") / 2
     placed = joined.withColumn("middle", middle)
-    offset = F.col("middle")
-    taken = F.when(F.col("target") > 0, F.expr(f"transform(sequence(0, {max_repeats - 1}), k -> middle + k * source_size)"))
-    offsets = F.coalesce(F.filter(taken, lambda o: o < F.col("target")), F.when(F.col("source_size") == 0, F.array(offset)), F.expr("array()"))
-    offsets = F.when(F.col("size") > 0, offsets).otherwise(F.slice(offsets, 1, 1))
+    offsets = [F.col("middle") + k * F.col("source_size") for k in range(max_repeats)]
+    wanted = sum((F.when(o < F.col("target"), 1).otherwise(0) for o in offsets[1:]), F.when(offsets[0] < F.col("target"), 1).otherwise(0))
+    # Rows of size 0 cost nothing: once, where their source has any place at all.
+    copies = F.when(F.col("source_size") == 0, 1).when(F.col("size") == 0, F.least(wanted, F.lit(1))).otherwise(wanted)
 
     def at(o: Column) -> Column:
         share = F.when(F.col("target") > 0, F.least(o / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
@@ -141,9 +142,9 @@ def mix(
         return flat
 
     return (
-        placed.withColumn("offsets", offsets)
-        .withColumn("positions", F.transform("offsets", at))
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions")
+        placed.withColumn("copies", copies.cast("int"))
+        .withColumn("positions", F.slice(F.array(*[at(o) for o in offsets]), F.lit(1), F.col("copies")))
+        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "positions")
     )
 
 
@@ -153,7 +154,7 @@ def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     ``mixed`` is what ``mix`` returned for ``docs``; ids must be unique in ``docs``.
     The position is added as ``position_col``.
     """
-    copies = mixed.select(mixed[id_col].alias("__id"), F.explode("positions").alias("__at"))
+    copies = mixed.filter("copies > 0").select(mixed[id_col].alias("__id"), F.explode("positions").alias("__at"))
     joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
     ordered = joined.repartitionByRange("__at", id_col).sortWithinPartitions("__at", id_col)
     return ordered.withColumnRenamed("__at", position_col)

@@ -46,7 +46,7 @@ l AS (
          sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM r),
 c AS (
-  SELECT *, min(CASE WHEN (budget - before)::DOUBLE / rest::DOUBLE <= ratio THEN (budget - before)::DOUBLE / rest::DOUBLE END) OVER () AS common FROM l),
+  SELECT *, max(CASE WHEN (budget - before)::DOUBLE / rest::DOUBLE <= ratio THEN (budget - before)::DOUBLE / rest::DOUBLE END) OVER () AS common FROM l),
 t AS (SELECT source, source_size, least(coalesce(common, 0) * weight::DOUBLE, cap::DOUBLE) AS target FROM c),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
