@@ -242,7 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = durable(_buckets(classes), "buckets")
     heads = durable(buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "head"), "heads")
-    ties = buckets.join(heads, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    # A class has at most BANDS heads. It stays tied to the smallest, and so do its other heads.
+    tied = buckets.join(heads, "key").filter("rep <> head").groupBy("rep").agg(F.collect_set("head").alias("heads"))
+    lowest = tied.withColumn("b", F.array_min("heads")).withColumn("head", F.explode("heads"))
+    ties = lowest.select(F.when(F.col("head") == F.col("b"), F.col("rep")).otherwise(F.col("head")).alias("a"), "b")
     candidates = _clusters(components(ties, "candidates").select(F.col("v").alias("rep"), "component"), "candidate-clusters")
 
     estimated = within_clusters(candidates.join(classes, "rep"), "sketch", _estimated(percent / 100 - MARGIN), "estimated")
@@ -261,3 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sketched.join(joined, same, "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, unchanged, that ``near_duplicates`` keeps: one id of each component."""
+    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
