@@ -32,7 +32,7 @@ from wordmill.llm.wordhash import Words, runs
 
 #: Bytes of text that a group aims at: at least the first, at most the last, between them
 #: so that a group's message to a block stays around ``MESSAGE`` bytes.
-GROUP_BYTES = (16 << 20, 64 << 20)
+GROUP_BYTES = (6 << 20, 64 << 20)
 MESSAGE = 4096
 
 
