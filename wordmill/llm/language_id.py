@@ -226,19 +226,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(text, lang) for lang in sorted(got) for _, text in sorted(got[lang])[:SAMPLE]])
 
 
-def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score (columns of these names are replaced).
+def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the two named (columns of these names are replaced).
 
     The prediction sees the whole text and nothing else. Null, empty and letterless texts
     are ``und`` with score 0. Nothing is shuffled.
     """
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    others = [c for c in docs.columns if c not in (lang_out, score_out)]
     rows = docs.select(*others)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, 4_000_000):
             lang, score = classifier.predict([t or "" for t in b.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, lang_out, score_out])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return rows.mapInArrow(run, schema)
+
+
+#: Below this a text is as good as undecided: a winner at both levels has 0.25 at least.
+MIN_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language can be told.
+
+    Null, empty and letterless texts go, and those that score below ``MIN_SCORE``.
+    """
+    found = identify(docs, classifier, text_col, "__lang_pred", "__score")
+    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
