@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SF = "/root/testdata/sf0.001"
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -35,10 +37,3 @@ def duck():
     for p in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return con
-
-
-def rows_of(frame) -> list[tuple]:
-    """Rows of a pandas frame, comparable: columns and rows in order."""
-    frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if x is None or x != x else x
-    return sorted((tuple(map(plain, r)) for r in frame.astype(object).values.tolist()), key=repr)

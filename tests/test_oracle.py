@@ -1,7 +1,7 @@
 """Every registered query with SQL gives what DuckDB gives."""
 
 import pytest
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 
 from wordmill.plans import registry
 
