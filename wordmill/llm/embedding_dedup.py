@@ -34,6 +34,8 @@ from wordmill.llm.wordhash import mixed
 TABLES, LATTICES, SCALE, SEED = 16, 2, 1.5, 8
 CELLS = 1 + LATTICES
 BLOCK = 256
+#: Rows of cells that are verified in one call, about; pairs that are looked at together.
+PACK_ROWS, _PAIRS = 4000, 20_000
 
 
 def _even(y: np.ndarray) -> np.ndarray:
@@ -86,6 +88,65 @@ def _unit(rows: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _counted(names: np.ndarray, tab: np.ndarray, cell: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs (i, j) that meet in ``cell`` of ``tab`` count there: they share no cell
+    of an earlier table and no smaller cell of this one."""
+    out = np.ones(len(i), dtype=bool)
+    for x in range(CELLS):
+        for y in range(CELLS):
+            same = names[i, :, x] == names[j, :, y]
+            out &= ~(same & (np.arange(TABLES) < tab[:, None])).any(axis=1)
+            here = np.arange(len(i)), tab
+            out &= ~(same[here] & (names[i, tab, x] < cell))
+    return out
+
+
+def _links(unit: np.ndarray, rows: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked rows of many cells: (id, root in its cell, links that count in this cell)."""
+    order = np.lexsort((rows["rep"], rows["b2"], rows["b1"], rows["cell"], rows["tab"]))
+    unit, rows = unit[order], {c: v[order] for c, v in rows.items()}
+    rep, mine = rows["rep"], rows["mine"]
+    fresh = np.zeros(len(rep), dtype=bool)
+    fresh[:1] = True
+    for c in ("tab", "cell", "b1", "b2"):
+        fresh[1:] |= rows[c][1:] != rows[c][:-1]
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(rep))
+    left, right = [], []
+    twos = starts[ends - starts == 2]
+    near = np.einsum("ij,ij->i", unit[twos], unit[twos + 1]) >= threshold
+    left.append(twos[near])
+    right.append(twos[near] + 1)
+    for s, e in zip(starts, ends):
+        if e - s > 2:
+            a, b = np.nonzero(np.triu(unit[s:e] @ unit[s:e].T >= threshold, 1))
+            left.append(a + s)
+            right.append(b + s)
+    i, j = np.concatenate(left), np.concatenate(right)
+    crossing = (rep[i] != rep[j]) & ((rows["b1"][i] == rows["b2"][i]) | (mine[i] != mine[j]))
+    i, j = i[crossing], j[crossing]
+    root = np.arange(len(rep))
+    while True:  # rows of a cell are sorted by id, so the smallest place is the smallest id
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    n = np.zeros(len(rep), dtype=np.int64)
+    names = cells(unit, rows["label"])
+    for at in range(0, len(i), _PAIRS):
+        p, q = i[at : at + _PAIRS], j[at : at + _PAIRS]
+        take = _counted(names, rows["tab"][p], rows["cell"][p], p, q)
+        np.add.at(n, p[take], rows["copies"][q[take]])
+        np.add.at(n, q[take], rows["copies"][p[take]])
+    linked = np.zeros(len(rep), dtype=bool)
+    linked[i] = linked[j] = True
+    return rep[linked], rep[root[linked]], n[linked]
+
+
 CLEAN = "id long, label long, vec binary"
 
 
@@ -125,6 +186,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     entered = durable(classes.select("rep", "label", "vec").mapInArrow(_enter, "rep long, tab int, cell long").distinct(), "cells")
     shared = durable(entered.groupBy("tab", "cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-cells")
     meeting = durable(entered.join(shared, ["tab", "cell"]), "meeting")
+    packs = max(1, -(-meeting.count() // PACK_ROWS))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
         meeting.join(classes.select("rep", "label", "vec", "copies"), "rep")
@@ -132,41 +194,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("rep", "label", "vec", "copies", "tab", "cell", "mine", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"))
+        .withColumn("pack", F.pmod(F.xxhash64("tab", "cell", "b1", "b2"), F.lit(packs)).cast("int"))
     )
 
     def verify(table: pa.Table) -> pa.Table:
-        rep, mine, copies = (table.column(c).to_numpy() for c in ("rep", "mine", "copies"))
-        tab, cell, b1, b2 = (table.column(c)[0].as_py() for c in ("tab", "cell", "b1", "b2"))
-        unit = _unit(table.column("vec").to_pylist())
-        linked = (unit @ unit.T >= threshold) & (rep[:, None] != rep[None, :])
-        if b1 != b2:
-            linked &= mine[:, None] != mine[None, :]
-        names = cells(unit, table.column("label").to_numpy())
-        counted = linked.copy()
-        if linked.any():
-            for s in range(tab):
-                for i in range(CELLS):
-                    for j in range(CELLS):
-                        counted &= names[:, s, i][:, None] != names[:, s, j][None, :]
-            for i in range(CELLS):
-                lower = names[:, tab, i] < cell
-                for j in range(CELLS):
-                    counted &= ~(lower[:, None] & (names[:, tab, i][:, None] == names[:, tab, j][None, :]))
-        label = np.arange(len(rep))
-        order = np.argsort(rep, kind="stable")
-        adjacent = linked[np.ix_(order, order)]
-        while True:
-            new = np.minimum(label, np.where(adjacent, label[None, :], len(rep)).min(axis=1, initial=len(rep)))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        root = np.empty_like(rep)
-        root[order] = rep[order][label]
-        take = linked.any(axis=1)
-        return pa.table({"rep": rep[take], "root": root[take], "n": (counted @ copies)[take].astype(np.int64)})
-
-    found = durable(dealt.groupBy("tab", "cell", "b1", "b2").applyInArrow(verify, "rep long, root long, n long"), "vector-links")
+        vecs = table.column("vec").to_pylist()
+        lengths = np.array([len(v) for v in vecs])
+        columns = {c: table.column(c).to_numpy() for c in ("rep", "label", "copies", "tab", "cell", "mine", "b1", "b2")}
+        found = [_links(_unit([vecs[i] for i in which]), {c: v[which] for c, v in columns.items()}, threshold) for size in np.unique(lengths) for which in [np.flatnonzero(lengths == size)]]
+        rep, root, n = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"rep": rep, "root": root, "n": n})
+
+    found = durable(dealt.groupBy("pack").applyInArrow(verify, "rep long, root long, n long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
     answers = durable(
