@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wordmill.llm.components import components
 from wordmill.llm.durable import durable
+from wordmill.llm.shipping import ship
 from wordmill.llm.wordhash import mixed
 
 TABLES, LATTICES, SCALE, SEED = 16, 2, 1.5, 8
@@ -179,6 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     own component, kept. ``n_links`` counts rows, so a vector with k equal copies has
     them among its links. Repeated ids are rows of their own. Other columns are ignored.
     """
+    ship(vectors.sparkSession)
     clean = durable(vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("long").alias("label"), vectors[vec_col].cast("array<double>").alias("vec")).mapInArrow(_clean, CLEAN), "vectors")
     usable = clean.filter("vec IS NOT NULL AND id IS NOT NULL")
     classes = durable(usable.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from wordmill.llm.arrow_slices import slices
 from wordmill.llm.html_pages import MAIN_NAMES, SIDE_NAMES, Node, training_pages
 from wordmill.llm.html_tree import BREAK, SPACE, Page
+from wordmill.llm.shipping import ship
 
 STATES = 3
 CONTENT = 1
@@ -224,6 +225,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None, id_col: str = "pag
     pages have empty text. Pages are judged one by one, so repeated ids and pages keep
     their rows. Other columns are ignored. Nothing is shuffled.
     """
+    ship(pages.sparkSession)
     model = model or default_model()
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
 

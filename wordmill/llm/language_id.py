@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmill.llm.arrow_slices import slices
+from wordmill.llm.shipping import ship
 
 #: Most labelled rows of a language that training looks at.
 SAMPLE = 150
@@ -232,6 +233,7 @@ def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text", la
     The prediction sees the whole text and nothing else. Null, empty and letterless texts
     are ``und`` with score 0. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     others = [c for c in docs.columns if c not in (lang_out, score_out)]
     rows = docs.select(*others)
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm.arrow_slices import list_of_ints, slices
+from wordmill.llm.shipping import ship
 
 MARK = "▁"
 #: Words that a Python worker remembers with their ids.
@@ -201,6 +202,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     Nothing is shuffled; memory is bounded by a slice of text and the word memory.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in slices(batches, "text"):
@@ -217,6 +220,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``coded`` with a column ``text_col`` holding the text of its ids; null ids give null."""
 
+    ship(coded.sparkSession)
+
     @F.pandas_udf("string")
     def texts(ids):
         m = model(model_path)

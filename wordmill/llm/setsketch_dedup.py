@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from wordmill.llm.arrow_slices import slices, small_batches
 from wordmill.llm.components import components
 from wordmill.llm.durable import durable
+from wordmill.llm.shipping import ship
 from wordmill.llm.wordhash import Words, mixed, runs
 
 ROWS, BANDS = 7, 50
@@ -232,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100")
+    ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     sketched = durable(sketch_documents(docs, id_col, text_col, shingle), "sketches")
     full = sketched.filter("n > 0 AND id IS NOT NULL")

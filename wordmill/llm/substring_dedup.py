@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm.arrow_slices import small_batches
+from wordmill.llm.shipping import ship
 from wordmill.llm.wordhash import Words, runs
 
 #: Bytes of text that a group aims at: at least the first, at most the last, between them
@@ -66,6 +67,7 @@ def duplicate_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     if window < 1:
         raise ValueError("window must be at least 1")
     spark = docs.sparkSession
+    ship(spark)
     small_batches(spark)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -30,6 +30,7 @@ from wordmill.llm import token_file
 from wordmill.llm.arrow_slices import slices
 from wordmill.llm.durable import durable, fresh_path
 from wordmill.llm.files import TemporaryFile, reading
+from wordmill.llm.shipping import ship
 
 #: Pieces that a Python worker remembers (about 200 bytes each).
 REMEMBERED = 600_000
@@ -97,6 +98,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
     hash. Other columns are ignored. No documents, no shards.
     """
 
+    ship(docs.sparkSession)
+
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, out = _encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), None
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from wordmill.llm.attach import attach
 from wordmill.llm.durable import durable, fresh_path
 from wordmill.llm.files import TemporaryFile, reading
+from wordmill.llm.shipping import ship
 
 MIN_REVISIT = 100
 #: A file is closed once its compressed size reaches this.
@@ -102,6 +103,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     referred to. Rows that repeat an id and a payload: the first is the response (if its id
     is the smallest), the others revisit it. Other columns are ignored. No pages, no files.
     """
+    ship(pages.sparkSession)
     body = F.coalesce(pages[html_col], F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
     keyed = rows.filter(F.octet_length("html") >= MIN_REVISIT).select("id", "digest")
