@@ -27,11 +27,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     n = 0
     while True:
         n += 1
-        heard = both.join(labels.withColumnRenamed("a", "b"), "b").select("a", "c").union(labels).groupBy("a").agg(F.min("c").alias("c"))
+        news = both.join(labels.select(F.col("a").alias("b"), "c"), "b").select("a", "c", F.lit(None).cast("long").alias("old"))
+        heard = news.union(labels.select("a", "c", F.col("c").alias("old"))).groupBy("a").agg(F.min("c").alias("c"), F.max("old").alias("old"))
         heard = durable(heard, f"{label}-{n}h")
-        own = labels.select(F.col("a").alias("c"), F.col("c").alias("further"))
-        better = durable(heard.join(own, "c", "left").select("a", F.coalesce("further", "c").alias("c")), f"{label}-{n}")
-        changed = better.join(labels.withColumnRenamed("c", "old"), "a").filter("c <> old").limit(1).count()
-        labels = better
-        if not changed:
+        if not heard.filter("c <> old").limit(1).count():
             return labels.select(F.col("a").alias("v"), F.col("c").alias("component"))
+        own = labels.select(F.col("a").alias("c"), F.col("c").alias("further"))
+        labels = durable(heard.join(own, "c", "left").select("a", F.coalesce("further", "c").alias("c")), f"{label}-{n}")
