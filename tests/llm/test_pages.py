@@ -110,6 +110,7 @@ SITE = """<html><head><title>T</title><style>p{}</style><script>var t="</p><p>no
         ("<article><p>a<b>b</b>c <i> d</i></p>\n<p></p><p>e", "abc d\ne"),
         ("<nav><a href=/>x</a></nav><article><h1>H &eacute;</h1><p>" + "w " * 30_000 + "</p></article><footer>f</footer>", "H é\n" + " ".join(["w"] * 30_000)),
         ("<article><p>1 < 2 and a<b</p></article>", None),
+        ("<b>" * 30_000 + "</x>" * 30_000 + "<article><p>words stand here</p></article>", None),
         ("<div>" * 3000 + "<article><p>deep words stand here</p></article>", None),
     ],
 )

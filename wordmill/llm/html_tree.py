@@ -9,6 +9,7 @@ what is open at the end of the page is closed.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
@@ -47,6 +48,7 @@ class Page:
     def __init__(self, html: str) -> None:
         self.parent, self.name, self.attrs, self.text, self.sequence = [-1], ["#page"], [""], [""], []
         open_: list[int] = [0]
+        opened: Counter[str] = Counter()  # how many elements of a tag are open
         name, sequence = self.name, self.sequence
 
         def add(kind: str | None, attrs: str, text: str) -> int:
@@ -58,11 +60,15 @@ class Page:
 
         def close_to(depth: int) -> None:
             while len(open_) > depth:
-                if name[open_.pop()] in BLOCK:
+                tag = name[open_.pop()]
+                opened[tag] -= 1
+                if tag in BLOCK:
                     sequence.append(BREAK)
 
         def find(names: frozenset[str] | set[str], holders: frozenset[str]) -> int:
             """Depth of the innermost open element of ``names``; 0 if a holder comes first."""
+            if not any(opened[n] for n in names):
+                return 0
             for d in range(len(open_) - 1, 0, -1):
                 n = name[open_[d]]
                 if n in names:
@@ -110,4 +116,5 @@ class Page:
             node = add(tag, attrs, "")
             if tag not in VOID:
                 open_.append(node)
+                opened[tag] += 1
         sequence.append(BREAK)

@@ -10,7 +10,7 @@ A classifier on frequencies is a mean of weights over a text's n-grams, so a who
 scored in one pass with no feature vector.
 
 Training takes at most ``SAMPLE`` labelled rows of each language, those with the smallest
-hash of their id (a bounded sample, the same on every run), cut into pieces of several
+hash of id and text (a bounded sample, the same on every run), cut into pieces of several
 lengths so that short texts are judged well too.
 """
 
@@ -215,7 +215,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
     if held_out is not None:
         rows = rows.filter(fold(rows[id_col]) != held_out)
-    rows = rows.select(rows[lang_col].alias("lang"), F.xxhash64(rows[id_col], F.lit(1)).alias("h"), rows[text_col].alias("text"))
+    rows = rows.select(rows[lang_col].alias("lang"), F.xxhash64(rows[id_col], rows[text_col]).alias("h"), rows[text_col].alias("text"))
     counts = rows.groupBy("lang").count().collect()  # one row per language
     part = F.lit(False)
     for lang, n in counts:
