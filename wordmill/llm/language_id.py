@@ -30,13 +30,15 @@ from wordmill.llm.arrow_slices import slices
 from wordmill.llm.shipping import ship
 
 #: Most labelled rows of a language that training looks at.
-SAMPLE = 150
+SAMPLE = 120
 BINS = 1 << 12
 #: Lengths, in characters, of the pieces that training texts are cut into.
 PIECES = (24, 60, 200, 1200)
 #: Most pieces of each length that a training row is cut into.
-PER_LENGTH = 3
+PER_LENGTH = 2
 UNKNOWN = "und"
+#: Bytes of text that are scored at once.
+SLICE = 1_000_000
 #: Families by language code; a code that is not listed is a family of its own.
 FAMILIES: dict[str, str] = {
     "da": "germanic", "de": "germanic", "en": "germanic", "is": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
@@ -49,7 +51,7 @@ _letters: list[np.ndarray] = []
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000))
     return _letters[0]
 
 
@@ -144,21 +146,21 @@ class Classifier:
 
 def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear support vector machine, squared hinge loss, by accelerated gradient descent.
+    The last column of ``x`` is 1, for the bias.
 
     Both sides weigh the same, however many rows they have.
     """
     y = y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    v = np.random.default_rng(0).normal(size=x1.shape[1]).astype(np.float32)
+    v = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
     for _ in range(12):  # largest curvature
-        v = x1.T @ (weight * (x1 @ v))
+        v = x.T @ (weight * (x @ v))
         v /= np.linalg.norm(v)
-    step = 1 / (2.2 * np.linalg.norm(x1.T @ (weight * (x1 @ v))) + penalty)
-    w, ahead = np.zeros(x1.shape[1], np.float32), np.zeros(x1.shape[1], np.float32)
+    step = 1 / (2.2 * np.linalg.norm(x.T @ (weight * (x @ v))) + penalty)
+    w, ahead = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
-        gap = np.maximum(1 - y * (x1 @ ahead), 0)
-        new = ahead - np.float32(step) * (np.float32(penalty) * ahead - 2 * (x1.T @ (weight * gap * y)))
+        gap = np.maximum(1 - y * (x @ ahead), 0)
+        new = ahead - np.float32(step) * (np.float32(penalty) * ahead - 2 * (x.T @ (weight * gap * y)))
         ahead, w = (new + np.float32(k / (k + 3)) * (new - w)).astype(np.float32), new
     return w[:-1], float(w[-1])
 
@@ -185,11 +187,12 @@ def fit(rows: list[tuple[str, str]], families: dict[str, str] | None = None) ->
     bins, counts = grams(pieces)
     take = counts > 0
     owner = np.repeat(np.cumsum(take) - 1, counts)
-    x = np.zeros((int(take.sum()), BINS), dtype=np.float32)
+    x = np.ones((int(take.sum()), BINS + 1), dtype=np.float32)
+    x[:, :BINS] = 0
     np.add.at(x, (owner, bins), 1)
-    x /= counts[take][:, None]
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
-    x *= scale
+    x[:, :BINS] /= counts[take][:, None].astype(np.float32)
+    scale = (1 / np.sqrt(x[:, :BINS].mean(axis=0) + 1e-5)).astype(np.float32)
+    x[:, :BINS] *= scale
     lang = np.array(langs, dtype=object)[take]
     family = np.array([families.get(k, k) for k in lang], dtype=object)
     weights, bias = np.zeros((BINS, len(pairs)), dtype=np.float32), np.zeros(len(pairs))
@@ -238,7 +241,7 @@ def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text", la
     rows = docs.select(*others)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 4_000_000):
+        for b in slices(batches, text_col, SLICE):
             lang, score = classifier.predict([t or "" for t in b.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, lang_out, score_out])
 
@@ -246,8 +249,8 @@ def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text", la
     return rows.mapInArrow(run, schema)
 
 
-#: Below this a text is as good as undecided: a winner at both levels has 0.25 at least.
-MIN_SCORE = 0.3
+#: A winner of one machine at each level has this at least; less means that machines disagree.
+MIN_SCORE = 0.25
 
 
 def accepted(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:

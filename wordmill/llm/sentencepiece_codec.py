@@ -35,7 +35,9 @@ from wordmill.llm.shipping import ship
 
 MARK = "▁"
 #: Words that a Python worker remembers with their ids.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
+#: Pairs of pieces whose standing side by side is remembered.
+PAIRS_REMEMBERED = 250_000
 
 
 class PieceModel:
@@ -89,6 +91,8 @@ class PieceModel:
         found = self._beside.get(key)
         if found is None:
             found = self._merged((before or "") + piece) == ([piece] if before is None else [before, piece])
+            if len(self._beside) >= PAIRS_REMEMBERED:
+                self._beside.clear()
             self._beside[key] = found
         return found
 

@@ -33,7 +33,7 @@ from wordmill.llm.files import TemporaryFile, reading
 from wordmill.llm.shipping import ship
 
 #: Pieces that a Python worker remembers (about 200 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _ODD_SPACE = re.compile(r" \s| $")
 
 
