@@ -197,6 +197,18 @@ def test_languages(docs_of):
     assert language_id.identify(docs.limit(0), classifier).count() == 0
 
 
+def test_characters_above_the_basic_plane(docs_of):
+    table = language_id._is_letter()
+    assert len(table) == 0x110000 and all(table[ord(c)] == c.isalpha() for c in "aé1 \uffff\U00010330\U0001d400\U00020000\U0001f600\U0010ffff")
+    gothic = "\U00010330\U00010331\U00010332\U00010333 \U00010334\U00010335\U00010336 \U00010337\U00010338\U00010339 "
+    rows = [(i, (TEXTS | {"got": gothic})[k] * (1 + i % 3) + "\U0001f600", k) for i, k in enumerate([*TEXTS, "got"] * 20)]
+    classifier = language_id.train(docs_of(rows), held_out=None)
+    odd = [(1, "\U0001f600 \U0001f680"), (2, TEXTS["fr"] + "\U0001f600"), (3, gothic), (4, "\U0001f600" + TEXTS["ja"] + "\U00020000")]
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs_of(odd), classifier).collect()} == {1: "und", 2: "fr", 3: "got", 4: "ja"}
+    plain, smiling = classifier.predict([TEXTS["de"], TEXTS["de"] + "\U0001f600"])[1]
+    assert plain == smiling
+
+
 def test_nothing_to_learn_from(docs_of):
     docs = docs_of([(1, "the", None), (2, None, "en")])
     classifier = language_id.train(docs)

@@ -56,3 +56,13 @@ def test_stages_keep_columns_and_take_odd_tables(spark, docs_of):
             n = out.count()
             docs = out
         assert n == 0 or table is not None
+
+
+def test_stages_take_characters_above_the_basic_plane(spark, docs_of):
+    text = {"en": "the lazy dog went over there and the fox too {} \U0001f600", "fr": "les chiens sont là avec eux et le renard aussi {} \U0001d400"}
+    rows = [(i, text[k].format("ab" * (i + 1)), k, "a") for i, k in enumerate(["en", "fr"] * 10)]
+    docs = docs_of([*rows, (90, "\U0001f600\U0001f680", "en", "a"), (91, "\U00010330\U00010331 \U00020000", "fr", "a")])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    ids = {r.doc_id for r in docs.collect()}
+    assert 90 not in ids and len(ids & {r[0] for r in rows}) >= 10
