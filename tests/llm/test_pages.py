@@ -119,6 +119,29 @@ def test_main_text(html, text):
     assert got == text if text is not None else isinstance(got, str)
 
 
+SEEN = "<p>These are words of an article that a reader wants to see.</p>"
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is positive.</p>", "The sum a+b is positive."),
+        ("<svg><path d='x'><p>After the drawing.</p>", "After the drawing."),
+        ("<math><mi>q</mi><mspace/><p>After the formula.</p>", "q\nAfter the formula."),
+        ("<svg><svg><g>" * 9 + "<p>After drawings.</p><p>b</p>", "After drawings.\nb"),
+        ("<p>x <svg viewBox='0 0 1 1'><path d='M0 0'/><style>p{}</style><g/></svg> y</p>", "x y"),
+        ("<svg><foreignObject><p>in</p><p>side</p></foreignObject></svg><p>z</p>", "in\nside\nz"),
+        ("<p>a <video src=x>b</video> <canvas>c</canvas> <audio>d</audio> <object data=x>e</object></p><template><p>f</p></template>", "a b c d e\nf"),
+        ("<video src=x><p>After it.</p>", "After it."),
+        ("<p>pick <select><option>one<option>two</select> now</p>", "pick now"),
+        ("<svg><desc>" + "<b>" * 30_000 + "</desc></svg><p>z</p>", "z"),
+    ],
+)
+def test_only_raw_text_elements_lose_their_text(inner, text):
+    got = html_extract.main_texts([f"<article>{SEEN}{inner}</article><footer>f</footer>"], html_extract.default_model())[0]
+    assert got == f"{SEEN[3:-4]}\n{text}"
+
+
 def test_marginals_equal_enumeration():
     import random
     from itertools import product
