@@ -58,6 +58,28 @@ def test_archives_are_plain_gzip_with_whole_payloads_and_the_same_every_time(spa
     assert plain.count(b"WARC-Type: warcinfo") >= 1 and BIG.encode() in plain and b"WARC-Target-URI: http://a/\xc3\xa9%20x%0D%0A\r\n" in plain
 
 
+@pytest.fixture()
+def ranges_stay(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_are_cut_the_same_way_every_time(spark, pages_of, monkeypatch, ranges_stay):
+    monkeypatch.setattr(warc, "RANGE_BYTES", (1 << 16, 1 << 20), raising=False)
+    rows = [(i * 7 % 6007 - 900, f"u{i}", f"<p>{i % 4000}</p>" * (i % 20)) for i in range(6000)] + [(None, "n", f"<b>{i}</b>" * 9) for i in range(900)] + [(5, "again", "x" * 200)] * 900
+    made = []
+    for n in (3, 3, 11):
+        manifest = warc.write_archives(pages_of(rows).repartition(n), fresh_path(spark, "t")).orderBy("part", "seq").collect()
+        made.append({r.file.rpartition("/")[2]: open(r.file.removeprefix("file:").replace("///", "/"), "rb").read() for r in manifest})
+        assert sum(r.n_records for r in manifest) == len(rows)
+        ids = [-1000 if i is None else i for r in manifest for i in (r.first_id, r.last_id)]
+        assert ids == sorted(ids) and len(made[-1]) >= 3
+    assert [[hashlib.sha256(m[k]).hexdigest() for k in sorted(m)] for m in made[1:]] == [[hashlib.sha256(made[0][k]).hexdigest() for k in sorted(made[0])]] * 2
+    got = warc.archived(pages_of(rows)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest) for r in got), key=str) == sorted(((i, len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows), key=str)
+
+
 def test_files_roll_by_size(spark):
     class Out:
         pass

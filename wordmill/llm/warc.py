@@ -1,9 +1,11 @@
 """Deterministic sharded WARC archives of pages, and reading them back.
 
-Pages are range-sorted by id. Each task writes its range into files that roll by
-compressed size; every record is a gzip member of its own, with headers and digests made
-anew from the payload, so the same pages give the same bytes. A file gets its final name
-when it is whole, and Spark's writer commits the manifest of all files.
+Pages are range-sorted by id. Where ranges begin is told from the pages alone (their total
+size and a sample of them by hash), whatever their partitions and the session's settings.
+Each task writes its range into files that roll by compressed size; every record is a gzip
+member of its own, with headers and digests made anew from the payload, so the same pages
+give the same files and bytes. A file gets its final name when it is whole, and Spark's
+writer commits the manifest of all files.
 
 Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest
 id is a response; the others are revisit records that refer to it and carry no payload.
@@ -22,8 +24,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm.attach import attach
@@ -34,6 +35,11 @@ from wordmill.llm.shipping import ship
 MIN_REVISIT = 100
 #: A file is closed once its compressed size reaches this.
 ROLL_BYTES = 64 << 20
+#: Bytes of html that a range aims at: at least the first, at most the last, between them so
+#: that ranges grow in number and in size with the pages.
+RANGE_BYTES = (16 << 20, 256 << 20)
+#: About how many keys of pages are sampled for each range.
+SAMPLED = 30
 #: The date of every record: archives of the same pages are the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
@@ -96,6 +102,33 @@ class _Roller:
             self.out, self.seq = None, self.seq + 1
 
 
+def _range_bounds(rows: DataFrame) -> list[tuple[int | None, str]]:
+    """The least (id, digest) of every range but the first, from the data alone; ranges are about equal in bytes."""
+    size = F.octet_length("html").cast("long")
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = -(-total // min(max(RANGE_BYTES[0], int((total << 13) ** 0.5)), RANGE_BYTES[1]))
+    if parts < 2:
+        return []
+    top = -(1 << 63) + int(min(1.0, SAMPLED * parts / n) * ((1 << 64) - 1))
+    sample = rows.filter(F.xxhash64("id", "html") <= F.lit(min(top, (1 << 63) - 1))).groupBy("id", "digest").agg(F.sum(size + 1).alias("size"))
+    keys = sorted(sample.collect(), key=lambda r: (r.id is not None, r.id or 0, r.digest))  # about SAMPLED rows per range
+    every, before, bounds = sum(r.size for r in keys), 0, []
+    for r in keys:
+        if before * parts >= (len(bounds) + 1) * every:
+            bounds.append((r.id, r.digest))
+        before += r.size
+    return bounds
+
+
+def _range_of(bounds: list[tuple[int | None, str]]) -> Column:
+    """How many of the bounds are not above (id, digest), by binary search; null ids come first."""
+    if not bounds:
+        return F.lit(0)
+    known = F.expr("array(" + ",".join(f"named_struct('id', CAST({'NULL' if i is None else repr(str(i))} AS BIGINT), 'digest', '{d}')" for i, d in bounds) + ")")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= F.struct("id", "digest"), at + step).otherwise(at))
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages below ``folder``; return the committed manifest.
 
@@ -112,13 +145,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     both = rows.withColumn("holder", F.lit(None).cast("long")).withColumn("kind", F.lit(1)).unionByName(
         decided.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "holder", F.lit(0).alias("kind"))
     )
-    ordered = both.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest", "kind", "url")
+    bounds = _range_bounds(rows)
+    ordered = both.withColumn("part", _range_of(bounds)).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("id", "digest", "kind", "url")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = _Roller(folder, TaskContext.get().partitionId(), uuid.uuid4().hex)
+        roller, attempt = None, uuid.uuid4().hex
         last, holder, copy = None, None, 0
         for b in batches:
-            for page_id, url, html, digest, found in zip(*(c.to_pylist() for c in b.columns)):
+            if b.num_rows and roller is None:
+                roller = _Roller(folder, b.column("part")[0].as_py(), attempt)
+            for page_id, url, html, digest, found, _ in zip(*(c.to_pylist() for c in b.columns)):
                 if (page_id, digest) != last:
                     last, holder, copy = (page_id, digest), None, 0
                 if html is None:
@@ -127,11 +163,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 refers = holder if holder is not None and (page_id != holder or copy) else None
                 roller.add(page_id, record(page_id, url, html.encode(), digest, refers, copy))
                 copy += 1
-        roller.close()
-        if roller.rows:
+        if roller:
+            roller.close()
             yield pa.RecordBatch.from_pylist(roller.rows, schema=_MANIFEST_ARROW)
 
-    return durable(ordered.select("id", "url", "html", "digest", "holder").mapInArrow(write, MANIFEST), "warc-manifest")
+    return durable(ordered.select("id", "url", "html", "digest", "holder", "part").mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 _MANIFEST_ARROW = pa.schema([("file", pa.string()), *((k, pa.int64()) for k in ("part", "seq", "n_records", "n_bytes", "first_id", "last_id"))])
