@@ -1,22 +1,18 @@
-"""Removing word sequences that occur elsewhere, by relative Lempel-Ziv parsing.
+"""Removing word sequences that occur elsewhere, by fingerprints of fixed-length phrases.
 
-Documents are factored against a reference that is the whole corpus, held in indexed blocks.
-A factor counts from ``window`` words on, so the index needs one entry for each distinct
-phrase of that many words. The blocks deal the reference out by phrase fingerprint, not
-by place: a phrase of a document can only lie in one block, so every document asks
-every block once, about the phrases that this block could hold, and the work stays in
-proportion to the corpus.
+Every run of ``window`` words is hashed, and equal fingerprints are looked up across the
+corpus. Blocks deal the fingerprints out by range: a phrase can only lie in one block, so
+every document asks every block once, about the phrases that this block could hold, and
+the work stays in proportion to the corpus. This stands in for a relative Lempel-Ziv parse:
+blocks hold neither text nor positions, and no match is extended against its source.
 
 1. Documents are dealt into groups by a hash. A group sends each block the fingerprints
    (64 bits, sorted, each once) of its own phrases with 15 bits of a second hash and a
    bit that says whether the group itself holds the phrase twice. A passage that a
    third of all documents share is one entry per group.
 2. A block answers with one bit per entry: whether the phrase starts elsewhere too.
-3. A group parses its documents left to right: at a phrase that has another occurrence a
-   factor begins and is extended word by word while the phrase that starts at the next word
-   has one too; the factor covers the last such phrase to its end. Since a longer match may
-   begin inside a factor and run over its end, the phrases across each factor's end are
-   looked at as well, and factors that touch or overlap become one span.
+3. A group merges the phrases of its documents that have another occurrence: those that
+   touch or overlap become one span, whether or not they come from the same source.
 
 Judging by the input, both copies of a passage go.
 """
@@ -124,8 +120,8 @@ def duplicate_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
 def _factors(words: Words, found: np.ndarray, window: int) -> tuple[np.ndarray, list, np.ndarray, tuple[bytes, np.ndarray]]:
     """Places where a known phrase starts → (words per text, spans per text, removed per text, kept text).
 
-    Consecutive places extend one factor; a place at most ``window`` words after the last
-    one lies within the factor or across or at its end and continues the span.
+    A place at most ``window`` words after the last one touches or overlaps its phrase and
+    continues the span.
     """
     n = len(words.starts)
     first = words.first
