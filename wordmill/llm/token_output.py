@@ -8,8 +8,7 @@ manifest and is never read.
 
 The tokenizer is asked once for each distinct piece of text between spaces: its pattern
 always starts a new token at the space before a non-space character, so what it makes of
-such a piece doesn't depend on what stands around it. Texts with other runs of white
-space after a space go to the tokenizer whole.
+such a piece doesn't depend on what stands around it. Other spaces stay inside their piece.
 """
 
 from __future__ import annotations
@@ -18,10 +17,11 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,14 +30,23 @@ from wordmill.llm import token_file
 from wordmill.llm.arrow_slices import slices
 from wordmill.llm.durable import durable, fresh_path
 from wordmill.llm.files import TemporaryFile, reading
+from wordmill.llm.pieces import PieceMemory, between_spaces, concatenated
 from wordmill.llm.shipping import ship
 
-#: Pieces that a Python worker remembers (about 200 bytes each).
-REMEMBERED = 400_000
-_ODD_SPACE = re.compile(r" \s| $")
+#: Words that a Python worker remembers in each of two generations (about 170 bytes each).
+REMEMBERED = 300_000
+#: A space before white space or the end; a cut there could take a run of white space apart.
+_ODD_SPACE = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+_CUT = re.compile(r" (?=\S)").split
+#: Lines of one word each, with or without marks behind it. The tokenizer's pattern always
+#: cuts between letters and these marks, and around a lone line feed.
+_MARKS = "[.,;:!?%$&*]"
+_WORDS = rf"^ ?\p{{L}}+{_MARKS}*(?:\n\p{{L}}+{_MARKS}*)*$"
+#: Words that the library is given as one text, a line each.
+_JOINED = 500
 
 
-class SpaceMemoEncoder:
+class PieceEncoder:
     """Ids of a text, as little-endian unsigned 32-bit bytes, by the tokenizers library."""
 
     def __init__(self, path: str) -> None:
@@ -45,45 +54,57 @@ class SpaceMemoEncoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
+        self._memory = PieceMemory(self._ask, REMEMBERED)
+        self._line_feed = self._library(["\n"])[0]
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """A piece's key has its space in front; only a text's first piece has none."""
-        cut: list[list[str] | None] = []
-        need: set[str] = set()
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                cut.append(None)
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """Plain words are asked for many at a time and told apart by the line feeds between them."""
+        plain = [len(self._line_feed) == 4 and w[w[:1] == " " :].isalpha() for w in words]
+        many, others = [w for w, p in zip(words, plain) if p], iter(self._library([w for w, p in zip(words, plain) if not p]))
+        got: list[bytes] = []
+        for at in range(0, len(many), _JOINED):
+            some = many[at : at + _JOINED]
+            ids = np.frombuffer(self._library(["\n".join(some)])[0], dtype="<u4")
+            feeds = np.flatnonzero(ids == np.frombuffer(self._line_feed, dtype="<u4"))
+            if len(feeds) != len(some) - 1:
+                got += self._library(some)
                 continue
-            pieces = text.split(" ")
-            cut.append(pieces)
-            need.update(pieces[1:])
-        memo = self._memo
-        known = memo.keys()
-        firsts = list({p[0] for p in cut if p})
-        more = dict(zip(firsts, self._ask(firsts)))
-        new = list(need - known)
-        got = dict(zip(new, self._ask([f" {p}" for p in new])))
-        look: Callable[[str], bytes] = memo.__getitem__
-        if got:
-            if len(memo) + len(got) <= REMEMBERED:
-                memo.update(got)
-            else:
-                both = memo | got
-                look = both.__getitem__
-        whole = iter(self._ask([t for t, p in zip(texts, cut) if p is None]))
-        return [next(whole) if p is None else more[p[0]] + b"".join(map(look, p[1:])) for p in cut]
-
-
-_ENCODERS: dict[str, SpaceMemoEncoder] = {}
-
-
-def _encoder(path: str) -> SpaceMemoEncoder:
+            raw, starts, ends = ids.tobytes(), [0, *(4 * feeds + 4).tolist()], [*(4 * feeds).tolist(), 4 * len(ids)]
+            got += [raw[s:e] for s, e in zip(starts, ends)]
+        words_ = iter(got)
+        return [next(words_) if p else next(others) for p in plain]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """All pieces but a text's first have a space in front."""
+        if not len(texts):
+            return []
+        pieces, lengths = between_spaces(texts, _ODD_SPACE, _CUT)
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        coded, heads = pieces.dictionary_encode(), pieces.take(pa.array(first)).dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[first] = len(coded.dictionary) + heads.indices.to_numpy()
+        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        distinct = pa.concat_arrays([pc.binary_join_element_wise(space, coded.dictionary, nothing), heads.dictionary])
+        plain = pc.match_substring_regex(distinct, _WORDS)
+        of_words, others = distinct.filter(plain), distinct.filter(pc.invert(plain))
+        parts = pc.split_pattern(pc.replace_substring_regex(of_words, f"({_MARKS}+|\n)", "\x1f\\1\x1f"), "\x1f")
+        words = pa.concat_arrays([parts.flatten(), others]).dictionary_encode()
+        counts = np.concatenate([pc.list_value_length(parts).to_numpy(), np.ones(len(others), np.int64)])
+        ids = concatenated(pa.array(self._memory(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()), words.indices, counts)
+        plain = plain.to_numpy(zero_copy_only=False)
+        place = np.where(plain, np.cumsum(plain) - 1, len(of_words) + np.cumsum(~plain) - 1)
+        return concatenated(ids, pa.array(place[which]), lengths).to_pylist()
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def _encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = SpaceMemoEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
@@ -105,7 +126,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         n_docs = n_ids = 0
         for b in slices(batches, "text"):
-            coded = [c + end for c in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
+            coded = [c + end for c in encoder.encode(b.column("text"))]
             out = out or TemporaryFile(folder, f"shard-{part:06d}-{attempt[:8]}.tok", attempt)
             ids = np.frombuffer(b"".join(coded), dtype="<u4")
             out.write(token_file.encode_frame(b.column("id").to_pylist(), np.array([len(c) // 4 for c in coded]), ids))
