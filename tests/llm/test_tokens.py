@@ -1,19 +1,22 @@
 """SentencePiece codec, token shards."""
 
+import hashlib
 import io
 import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wordmill.llm import queries, sentencepiece_codec, token_file, token_output
+from wordmill.llm.pieces import PieceMemory
 from wordmill.llm.sentencepiece_codec import PieceModel
 
-ODD = ["", None, " ", "  ", "a", "a b", "a  b", "  a", "a \n b", "\n", "\n\na", "日本語 テスト", "é è\tq", "emoji 😀😀 ok", "\x00a\x00", "<s> </s> <unk>", "<0x41>", "1234567 89", "a   ", "<|endoftext|> a<|endoftext|>b", "it's we'll  I'd\t\tx", "a" * 3000, "ab " * 40_000, "x  y", "x  y", "a\r\n b"]
+ODD = ["", None, " ", "  ", "a", "a b", "a  b", "  a", "a \n b", "\n", "\n\na", "日本語 テスト", "é è\tq", "emoji 😀😀 ok", "\x00a\x00", "<s> </s> <unk>", "<0x41>", "1234567 89", "a   ", "<|endoftext|> a<|endoftext|>b", "it's we'll  I'd\t\tx", "a" * 3000, "ab " * 40_000, "x  y", "x  y", "a\r\n b", "end.\nOf line,\nNo. 7\n\nx!?\ny.z\x1fq", "a²b c½. é́.\nß", "\x1f", "a\u00a0 b \u2003c"]
 
 
 @pytest.fixture(scope="module")
@@ -29,12 +32,12 @@ def model():
 
 
 def ids_of(model, text):
-    return np.frombuffer(model.encode([text])[0], "<i4").tolist()
+    return np.frombuffer(model.encode(pa.array([text]))[0].as_py(), "<i4").tolist()
 
 
 def test_pieces_equal_the_library(spark, library, model):
     texts = [t or "" for t in ODD] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    assert [np.frombuffer(c, "<i4").tolist() for c in model.encode(texts)] == library.encode(texts)
+    assert [np.frombuffer(c, "<i4").tolist() for c in model.encode(pa.array(texts)).to_pylist()] == library.encode(texts)
     assert [model.decode(i) for i in library.encode(texts)] == texts
 
 
@@ -96,17 +99,20 @@ def tokenizer():
     return Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
 
 
-def test_memo_equals_the_library(spark, tokenizer):
+@pytest.fixture(scope="module")
+def coder():
+    return token_output.PieceEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_memo_equals_the_library(spark, tokenizer, coder):
     texts = [t or "" for t in ODD] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    coder = token_output.SpaceMemoEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
-    assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode(pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab's1 \n\t  .é<|>")), max_size=30))
-def test_any_text_equals_the_tokenizer(tokenizer, text):
-    coder = token_output.SpaceMemoEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
-    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def test_any_text_equals_the_tokenizer(tokenizer, coder, text):
+    assert np.frombuffer(coder.encode(pa.array([text]))[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_shards(docs_of, tokenizer):
@@ -126,7 +132,28 @@ def test_shards(docs_of, tokenizer):
     assert token_output.tokenised(docs_of(rows).limit(0), queries.tokenizer_path("byte_bpe_50k.json"), 2).count() == 0
 
 
-def test_queries_see_every_document(spark):
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_sentencepiece", "op4_token_output"):
-        assert queries.QUERIES[name](spark, SF).count() == n
+def test_op1_over_its_table(spark, library):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.QUERIES["op1_sentencepiece"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert list(r.ids) == library.encode(texts[r.doc_id]) and r.n_pieces == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_op4_over_its_table(spark, tokenizer):
+    start, want = 0, []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.QUERIES["op4_token_output"](spark, SF).collect())) == want
+
+
+def test_memory_forgets_what_is_not_wanted():
+    asked = []
+    memory = PieceMemory(lambda words: asked.extend(words) or [w.encode() for w in words], 3)
+    for words in (["a", "b"], ["c", "a", ""], ["a", "d", "e", "f"], ["a", "b"], ["g", "h", "i", "j", "k", "l", "m", "a"]):
+        assert memory(words) == [w.encode() for w in words]
+        assert len(memory._young) + len(memory._old) <= 6
+    assert asked.count("b") == 2 and asked.count("") == 1

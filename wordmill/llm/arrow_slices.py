@@ -55,10 +55,3 @@ def slices(batches: Iterable[pa.RecordBatch], column: int | str, limit: int = SL
 
 def _joined(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pieces[0] if len(pieces) == 1 else pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
-
-
-def list_of_ints(chunks: list[bytes]) -> pa.ListArray:
-    """One list<int32> row for each chunk of little-endian 32-bit integers."""
-    offsets = np.zeros(len(chunks) + 1, dtype=np.int32)
-    np.cumsum([len(c) // 4 for c in chunks], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(chunks), dtype="<i4")))

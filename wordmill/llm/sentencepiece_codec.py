@@ -27,15 +27,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.arrow_slices import list_of_ints, slices
+from wordmill.llm.arrow_slices import slices
+from wordmill.llm.pieces import PieceMemory, between_spaces, concatenated
 from wordmill.llm.shipping import ship
 
 MARK = "▁"
-#: Words that a Python worker remembers with their ids.
-REMEMBERED = 200_000
+#: Pieces of text that a Python worker remembers with their ids in each of two generations.
+REMEMBERED = 300_000
 #: Pairs of pieces whose standing side by side is remembered.
 PAIRS_REMEMBERED = 250_000
 
@@ -44,11 +46,12 @@ class PieceModel:
     """Pieces, scores and kind of a model; encodes words and decodes ids."""
 
     def __init__(self, pieces: dict[str, int], scores: dict[str, float], kind: str, unk_id: int, byte_ids: list[int] | None, table: list[bytes]) -> None:
-        self.pieces, self.scores, self.kind, self.unk_id, self.byte_ids, self.table = pieces, scores, kind, unk_id, byte_ids, table
+        self.pieces, self.scores, self.kind, self.unk_id, self.byte_ids = pieces, scores, kind, unk_id, byte_ids
+        self._bytes = pa.array(table, pa.large_binary())
         self.longest = max(map(len, pieces), default=1)
         self._beside: dict[tuple[str | None, str], bool] = {}
         self._known = {p for p in pieces if len(p) == 1}
-        self._memo: dict[str, bytes] = {}
+        self._memory = PieceMemory(self._ask, REMEMBERED)
         # A line break is not part of a word unless some piece holds one.
         self._breaks_lines = not any("\n" in p for p in pieces)
 
@@ -156,9 +159,7 @@ class PieceModel:
     _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def _cut(self, text: str) -> list[str]:
-        """The marked words of a text, line breaks apart."""
-        if not text:
-            return []
+        """The marked words of a piece of text, line breaks apart."""
         marked = MARK + text.replace(" ", MARK)
         if not self._breaks_lines or "\n" not in marked:
             return self._CUT.findall(marked)
@@ -170,22 +171,34 @@ class PieceModel:
         out.pop()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _ask(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        memo = self._memo
-        new = set().union(*cut).difference(memo) if cut else set()
-        got = dict(self.encode_words(list(new)))
-        if len(memo) + len(got) <= REMEMBERED:
-            memo.update(got)
-            look = memo.__getitem__
-        else:
-            look = (memo | got).__getitem__
-        return [b"".join(map(look, words)) for words in cut]
+        known = dict(self.encode_words(list({w for words in cut for w in words})))
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Little-endian 32-bit ids of each text. A piece is what stands between single spaces; further
+        spaces stay in front of the piece behind them, as marks do. Null is empty."""
+        if not len(texts):
+            return pa.array([], pa.large_binary())
+        pieces, lengths = between_spaces(texts, f"^ |  |{MARK}|^$", lambda t: re.split("(?<=[^ ]) ", t.replace(MARK, " ")) if t else [])
+        words = pieces.dictionary_encode()
+        found = self._memory(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return concatenated(pa.array(found, pa.large_binary()), words.indices, lengths)
+
+    def decode_all(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[bytes]:
+        """Text after text of ids, in UTF-8; bytes that aren't UTF-8 become U+FFFD."""
+        raw = concatenated(self._bytes, pa.array(ids), lengths)
+        for text in raw.to_pylist():
+            text = text[text.startswith(b" ") :]
+            try:
+                text.decode()
+            except UnicodeDecodeError:
+                text = text.decode("utf-8", "replace").encode()
+            yield text
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.table.__getitem__, ids))
-        return raw[raw.startswith(b" ") :].decode("utf-8", "replace")
+        return next(self.decode_all(np.array(list(ids), dtype=np.int64), np.array([len(ids)]))).decode()
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -211,10 +224,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in slices(batches, "text"):
-            coded = m.encode([t or "" for t in b.column("text").to_pylist()])
-            digests = [hashlib.sha256(m.decode(np.frombuffer(c, dtype="<i4").tolist()).encode()).hexdigest() for c in coded]
-            lists = list_of_ints(coded)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(c) // 4 for c in coded], pa.int64()), lists, pa.array(digests)], names=["id", "n_pieces", "ids", "decoded_sha256"])
+            coded = m.encode(b.column("text"))
+            lengths = pc.binary_length(coded).to_numpy() // 4
+            ids = np.frombuffer(coded.buffers()[2], dtype="<i4", count=lengths.sum())
+            digests = [hashlib.sha256(t).hexdigest() for t in m.decode_all(ids, lengths)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lengths, pa.int64()), lists, pa.array(digests, pa.string())], names=["id", "n_pieces", "ids", "decoded_sha256"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, ids array<int>, decoded_sha256 string"
