@@ -10,12 +10,16 @@ A classifier on frequencies is a mean of weights over a text's n-grams, so a who
 scored in one pass with no feature vector.
 
 Training takes at most ``SAMPLE`` labelled rows of each language, those with the smallest
-hash of id and text (a bounded sample, the same on every run), cut into pieces of several
-lengths so that short texts are judged well too.
+hash of id and text (a bounded sample, the same on every run). Each text counts whole, and
+pieces of several lengths count beside it so that short texts are judged well too. Texts
+become vectors where they lie; one task gets the vectors (of at most ``BINS`` entries each,
+however long the text) and fits; the driver gets the weights.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -27,17 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmill.llm.arrow_slices import slices
+from wordmill.llm.names import column
 from wordmill.llm.shipping import ship
 
 #: Most labelled rows of a language that training looks at.
-SAMPLE = 120
+SAMPLE = 150
 BINS = 1 << 12
 #: Lengths, in characters, of the pieces that training texts are cut into.
 PIECES = (24, 60, 200, 1200)
 #: Most pieces of each length that a training row is cut into.
-PER_LENGTH = 2
+PER_LENGTH = 3
 UNKNOWN = "und"
-#: Bytes of text that are scored at once.
+#: Bytes of text that are scored at once; characters of a longer text that are looked at together.
 SLICE = 1_000_000
 #: Families by language code; a code that is not listed is a family of its own.
 FAMILIES: dict[str, str] = {
@@ -92,6 +97,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bins[order], counts
 
 
+def _parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Texts in parts of at most ``SLICE`` characters, and whose each part is. The two n-grams
+    or so across a cut don't count."""
+    parts = [t[at : at + SLICE] for t in texts for at in range(0, max(len(t), 1), SLICE)]
+    return parts, np.repeat(np.arange(len(texts)), [max(-(-len(t) // SLICE), 1) for t in texts])
+
+
 @dataclass(frozen=True)
 class Classifier:
     """One linear machine per pair; a positive margin speaks for the first of the pair."""
@@ -102,14 +114,17 @@ class Classifier:
     bias: np.ndarray
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        bins, counts = grams(texts)
+        parts, owner = _parts(texts)
+        bins, counts = grams(parts)
         some = counts > 0
+        total = np.bincount(owner, weights=counts, minlength=len(texts))
         out = np.zeros((len(texts), len(self.pairs)))
         if some.any() and self.pairs:
             starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
             for p in range(len(self.pairs)):
-                out[some, p] = np.add.reduceat(self.weights[:, p][bins].astype(np.float64), starts) / counts[some] + self.bias[p]
-        return out, some
+                sums = np.add.reduceat(self.weights[:, p][bins].astype(np.float64), starts)
+                out[:, p] = np.bincount(owner[some], weights=sums, minlength=len(texts)) / np.maximum(total, 1) + self.bias[p]
+        return out, total > 0
 
     def _winner(self, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the winning name, its probability) from the machines among ``names``."""
@@ -145,63 +160,74 @@ class Classifier:
         return out.tolist(), np.where(some, score, 0.0)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear support vector machine, squared hinge loss, by accelerated gradient descent.
-    The last column of ``x`` is 1, for the bias.
+def _machine(sides: tuple[list[np.ndarray], list[np.ndarray]], rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear support vector machine, squared hinge loss, by accelerated gradient descent,
+    for the rows of two lists of blocks. The last column is 1, for the bias.
 
     Both sides weigh the same, however many rows they have.
     """
-    y = y.astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    v = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
+    blocks = [*sides[0], *sides[1]]
+    ends = np.cumsum([len(b) for b in blocks])
+    sizes = [sum(map(len, s)) for s in sides]
+    y = np.repeat(np.array([1, -1], np.float32), sizes)
+    weight = np.repeat(np.array([0.5 / n for n in sizes], np.float32), sizes)
+    times = lambda v: np.concatenate([b @ v for b in blocks])
+    back = lambda u: sum(b.T @ p for b, p in zip(blocks, np.split(u, ends[:-1])))
+    n = blocks[0].shape[1]
+    v = np.random.default_rng(0).normal(size=n).astype(np.float32)
     for _ in range(12):  # largest curvature
-        v = x.T @ (weight * (x @ v))
+        v = back(weight * times(v))
         v /= np.linalg.norm(v)
-    step = 1 / (2.2 * np.linalg.norm(x.T @ (weight * (x @ v))) + penalty)
-    w, ahead = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    step = 1 / (2.2 * np.linalg.norm(back(weight * times(v))) + penalty)
+    w, ahead = np.zeros(n, np.float32), np.zeros(n, np.float32)
     for k in range(rounds):
-        gap = np.maximum(1 - y * (x @ ahead), 0)
-        new = ahead - np.float32(step) * (np.float32(penalty) * ahead - 2 * (x.T @ (weight * gap * y)))
+        gap = np.maximum(1 - y * times(ahead), 0)
+        new = ahead - np.float32(step) * (np.float32(penalty) * ahead - 2 * back(weight * gap * y))
         ahead, w = (new + np.float32(k / (k + 3)) * (new - w)).astype(np.float32), new
     return w[:-1], float(w[-1])
 
 
+def vectors(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bins, shares) of a whole text and of pieces spread over it; without letters, none."""
+    pieces = [text[i * len(text) // n :][:length] for length in PIECES for n in [min(PER_LENGTH, -(-len(text) // length))] for i in range(n)]
+    parts, _ = _parts([text])
+    whole = sum((np.bincount(grams([p])[0], minlength=BINS) for p in parts), np.zeros(BINS, np.int64))
+    counted = [whole, *(np.bincount(grams([p])[0], minlength=BINS) for p in pieces)]
+    return [(at.astype("<u2"), (c[at] / c.sum()).astype("<f4")) for c in counted for at in [np.flatnonzero(c)] if len(at)]
+
+
 def fit(rows: list[tuple[str, str]], families: dict[str, str] | None = None) -> Classifier:
     """(text, language) rows → classifier. No usable rows: everything will be ``und``."""
+    return _fit([(lang, *v) for text, lang in rows for v in vectors(text)], families)
+
+
+def _fit(rows: list[tuple[str, np.ndarray, np.ndarray]], families: dict[str, str] | None = None) -> Classifier:
     families = FAMILIES if families is None else families
-    pieces: list[str] = []
-    langs: list[str] = []
-    for text, lang in rows:
-        for length in PIECES:
-            # spread over the whole text
-            n = min(PER_LENGTH, -(-len(text) // length))
-            for i in range(n):
-                at = i * len(text) // n
-                pieces.append(text[at : at + length])
-                langs.append(lang)
+    by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for lang, at, share in rows:
+        by_lang.setdefault(lang, []).append((at, share))
     known: dict[str, list[str]] = {}
-    for lang in sorted(set(langs)):
+    for lang in sorted(by_lang):
         known.setdefault(families.get(lang, lang), []).append(lang)
-    pairs = list(combinations(sorted(known), 2)) + [p for f in sorted(known) for p in combinations(known[f], 2)]
-    if not pairs:
-        return Classifier(known, [], np.zeros((BINS, 0), np.float32), np.zeros(0))
-    bins, counts = grams(pieces)
-    take = counts > 0
-    owner = np.repeat(np.cumsum(take) - 1, counts)
-    x = np.ones((int(take.sum()), BINS + 1), dtype=np.float32)
-    x[:, :BINS] = 0
-    np.add.at(x, (owner, bins), 1)
-    x[:, :BINS] /= counts[take][:, None].astype(np.float32)
-    scale = (1 / np.sqrt(x[:, :BINS].mean(axis=0) + 1e-5)).astype(np.float32)
-    x[:, :BINS] *= scale
-    lang = np.array(langs, dtype=object)[take]
-    family = np.array([families.get(k, k) for k in lang], dtype=object)
+    names = list(combinations(sorted(known), 2))
+    pairs = names + [p for f in sorted(known) for p in combinations(known[f], 2)]
     weights, bias = np.zeros((BINS, len(pairs)), dtype=np.float32), np.zeros(len(pairs))
-    n_family = len(known) * (len(known) - 1) // 2
-    for p, (a, b) in enumerate(pairs):
-        names = family if p < n_family else lang
-        which = (names == a) | (names == b)
-        w, bias[p] = _machine(x[which], np.where(names[which] == a, 1.0, -1.0))
+    if not pairs:
+        return Classifier(known, [], weights, bias)
+    blocks: dict[str, np.ndarray] = {}
+    for lang in sorted(by_lang):
+        x = np.zeros((len(by_lang[lang]), BINS + 1), dtype=np.float32)
+        x[:, BINS] = 1
+        for row, (at, share) in zip(x, by_lang[lang]):
+            row[at] = share
+        blocks[lang] = x
+    mean = sum(x[:, :BINS].sum(axis=0, dtype=np.float64) for x in blocks.values()) / sum(map(len, blocks.values()))
+    scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
+    for x in blocks.values():
+        x[:, :BINS] *= scale
+    for p, pair in enumerate(pairs):
+        sides = [[blocks[k] for k in known[f]] for f in pair] if p < len(names) else [[blocks[k]] for k in pair]
+        w, bias[p] = _machine((sides[0], sides[1]))
         weights[:, p] = w * scale
     return Classifier(known, pairs, weights, bias)
 
@@ -216,48 +242,76 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Rows with null text or null language teach nothing.
     """
-    rows = docs.filter(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
+    ship(docs.sparkSession)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     if held_out is not None:
-        rows = rows.filter(fold(rows[id_col]) != held_out)
-    rows = rows.select(rows[lang_col].alias("lang"), F.xxhash64(rows[id_col], rows[text_col]).alias("h"), rows[text_col].alias("text"))
+        rows = rows.filter(fold(F.col("id")) != held_out)
+    rows = rows.select("lang", F.xxhash64("id", "text").alias("h"), "text")
     counts = rows.groupBy("lang").count().collect()  # one row per language
-    part = F.lit(False)
-    for lang, n in counts:
-        top = -(1 << 63) + int(min(1.0, 2 * SAMPLE / n) * ((1 << 64) - 1))
-        part = part | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min(top, (1 << 63) - 1))))
-    got: dict[str, list[tuple[int, str]]] = {}
-    for lang, h, text in rows.filter(part).collect():  # about 2 * SAMPLE rows per language
-        got.setdefault(lang, []).append((h, text))
-    return fit([(text, lang) for lang in sorted(got) for _, text in sorted(got[lang])[:SAMPLE]])
+    if not counts:
+        return _fit([])
+    # About 2 * SAMPLE rows of each language have a hash up to its top.
+    tops = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(-(1 << 63) + int(min(1.0, 2 * SAMPLE / n) * ((1 << 64) - 1)), (1 << 63) - 1))])
 
+    def vectorise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SLICE):
+            for lang, h, text in zip(*(c.to_pylist() for c in b.columns)):
+                found = vectors(text)
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "h": [h], "tie": [hashlib.sha256(text.encode()).digest()], "at": [[v[0].tobytes() for v in found]], "share": [[v[1].tobytes() for v in found]]}, schema=_VECTORS)
 
-def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the two named (columns of these names are replaced).
+    def learn(table: pa.Table) -> pa.Table:
+        got: dict[str, list[tuple]] = {}
+        for row in table.select(["lang", "h", "tie", "at", "share"]).to_pylist():
+            got.setdefault(row["lang"], []).append((row["h"], row["tie"], row["at"], row["share"]))
+        chosen = [(lang, np.frombuffer(a, "<u2"), np.frombuffer(s, "<f4")) for lang in sorted(got) for _, _, at, share in sorted(got[lang])[:SAMPLE] for a, s in zip(at, share)]
+        return pa.table({"model": pa.array([pickle.dumps(_fit(chosen))], pa.binary())})
 
-    The prediction sees the whole text and nothing else. Null, empty and letterless texts
-    are ``und`` with score 0. Nothing is shuffled.
-    """
+    sample = rows.filter(F.col("h") <= F.element_at(tops, F.col("lang"))).mapInArrow(vectorise, "lang string, h long, tie binary, at array<binary>, share array<binary>")
+    found = sample.groupBy().applyInArrow(learn, "model binary").first()
+    return pickle.loads(found.model) if found else _fit([])
+
+
+_VECTORS = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("tie", pa.binary()), ("at", pa.list_(pa.binary())), ("share", pa.list_(pa.binary()))])
+
+
+def _judged(docs: DataFrame, classifier: Classifier, text_col: str) -> DataFrame:
+    """row (all columns but the text), text, lang, score."""
     ship(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (lang_out, score_out)]
-    rows = docs.select(*others)
+    rows = docs.select(F.struct(F.lit(0).alias("0"), *(column(c) for c in docs.columns if c != text_col)).alias("row"), column(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, SLICE):
-            lang, score = classifier.predict([t or "" for t in b.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, lang_out, score_out])
+        for b in slices(batches, "text", SLICE):
+            lang, score = classifier.predict([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "text", "lang", "score"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def _columns(names: list[str], text_col: str) -> list[Column]:
+    return [(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in names]
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+
+def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the two named (columns of these names are replaced).
+
+    The prediction sees the whole text and nothing else. Null, empty and letterless texts
+    are ``und`` with score 0. Repeated rows and ids are judged one by one; no rows in, no
+    rows out. Nothing is shuffled.
+    """
+    others = [c for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
+    found = _judged(docs.select(*map(column, others)), classifier, text_col)
+    return found.select(*_columns(others, text_col), F.col("lang").alias(lang_out), F.col("score").alias(score_out))
 
 
 #: A winner of one machine at each level has this at least; less means that machines disagree.
-MIN_SCORE = 0.25
+MIN_SCORE = 0.3
 
 
 def accepted(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose language can be told.
 
-    Null, empty and letterless texts go, and those that score below ``MIN_SCORE``.
+    Null, empty and letterless texts go, and those that score below ``MIN_SCORE``. All other
+    columns stay as they are, whatever their names.
     """
-    found = identify(docs, classifier, text_col, "__lang_pred", "__score")
-    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    found = _judged(docs, classifier, text_col).filter((F.col("lang") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return found.select(*_columns(docs.columns, text_col))
