@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from wordmill.llm.arrow_slices import slices, small_batches
 from wordmill.llm.components import components
 from wordmill.llm.durable import durable
+from wordmill.llm.names import column, unused
 from wordmill.llm.shipping import ship
 from wordmill.llm.wordhash import Words, mixed, runs
 
@@ -59,7 +60,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     words = Words(texts, lower=True)
     hashes = words.hashes()
     shingles = runs(hashes, size)
-    for s, e in zip(words.first[:-1], words.first[1:]):
+    for s, e in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if e - s >= size:
             yield np.unique(shingles[s : e - size + 1])
         elif e > s:
@@ -270,6 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, unchanged, that ``near_duplicates`` keeps: one id of each component."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    """The rows of ``docs``, unchanged, that ``near_duplicates`` keeps: one id of each component.
+
+    Rows that repeat a kept id all stay, as do rows of null, empty or blank text and of null
+    id. No rows in, no rows out. All other columns stay as they are, whatever their names.
+    """
+    (kept_id,) = unused(docs, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col(id_col).alias(kept_id)).distinct()
+    return docs.join(kept, column(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi").select(*map(column, docs.columns))

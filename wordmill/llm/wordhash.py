@@ -24,6 +24,7 @@ _tables: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, … (n of them)."""
+    n = int(n)
     table = _tables.get(base)
     if table is None or len(table) < n:
         size = max(1 << (n - 1).bit_length(), 1 << 16)
