@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,11 +155,17 @@ CLEAN = "id long, label long, vec binary"
 def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes; null where a vector can't be compared."""
     for b in batches:
-        out = []
-        for v, label in zip(b.column("vec").to_pylist(), b.column("label").to_pylist()):
-            x = np.array(v, dtype="<f8") if v and label is not None and None not in v else None
-            out.append((x + 0.0).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(out, pa.binary())], names=["id", "label", "vec"])
+        lists = b.column("vec")
+        values = lists.flatten()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        x = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+        ends = np.cumsum(lengths)
+        upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+        bad, some = upto(~np.isfinite(x)), upto(x != 0)
+        usable = (bad[ends] == bad[ends - lengths]) & (some[ends] > some[ends - lengths]) & ~b.column("label").is_null().to_numpy(zero_copy_only=False)
+        raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int64).tobytes()), pa.py_buffer(x.tobytes())])
+        vec = pc.if_else(pa.array(usable), raw, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), vec], names=["id", "label", "vec"])
 
 
 def _enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +195,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     entered = durable(classes.select("rep", "label", "vec").mapInArrow(_enter, "rep long, tab int, cell long").distinct(), "cells")
     shared = durable(entered.groupBy("tab", "cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-cells")
     meeting = durable(entered.join(shared, ["tab", "cell"]), "meeting")
-    packs = max(1, -(-meeting.count() // PACK_ROWS))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    packs = max(1, -(-(meeting.agg(F.sum(blocks)).first()[0] or 0) // PACK_ROWS))  # a row goes to every block of its cell
     dealt = (
         meeting.join(classes.select("rep", "label", "vec", "copies"), "rep")
         .withColumn("blocks", blocks)
