@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 from helpers import SF, rows_of
+from pyspark.sql import functions as F
 
 from wordmill.llm import exact_dedup, mixing, queries
 
@@ -48,6 +49,19 @@ def test_rows_that_stay_keep_their_columns(docs_of):
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None) == [(1, "a"), (2, "b"), (4, None), (6, "a "), (7, "A"), (8, "x" * 200_000)]
 
 
+def test_clashing_names_and_repeated_ids(docs_of):
+    docs = docs_of(ROWS)
+    for keep in ("smallest", "largest"):
+        kept = exact_dedup.keep_one_of_each(docs, keep=keep).collect()
+        assert len(kept) == len({t or "" for _, t in ROWS}) and {r[4:] for r in kept} == {tuple(docs.first())[4:]}
+    odd = docs.withColumn("source", F.col("doc_id").cast("string")).union(docs.withColumn("source", F.lit("other")))
+    made = [sorted(map(tuple, exact_dedup.keep_one_of_each(odd.repartition(n)).collect()), key=str) for n in (1, 5)]
+    assert made[0] == made[1]
+    assert exact_dedup.keep_one_of_each(docs.limit(0)).count() == 0
+    nulls = exact_dedup.keep_one_of_each(docs_of([(1, None), (2, "")])).collect() + exact_dedup.keep_one_of_each(docs_of([(2, None), (1, "")])).collect()
+    assert [(r.doc_id, r.text) for r in nulls] == [(1, None), (1, "")]
+
+
 def test_an_unknown_rule_is_refused(docs_of):
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(docs_of(ROWS), keep="newest")
@@ -103,8 +117,6 @@ def test_mix_of_nothing(docs_of):
 
 
 def test_positions_invert_the_demand(spark):
-    from pyspark.sql import functions as F
-
     knots = [(0.0, 2.0), (0.25, 0.5), (1.0, 1.0)]
     area = 0.25 * 1.25 + 0.75 * 0.75
     demand = lambda t: sum((min(t, b[0]) - a[0]) * (a[1] + a[1] + (b[1] - a[1]) * (min(t, b[0]) - a[0]) / (b[0] - a[0])) / 2 for a, b in zip(knots, knots[1:]) if t > a[0]) / area
@@ -120,5 +132,15 @@ def test_training_order(docs_of):
     mixed = mixing.mix(docs)
     out = mixing.in_training_order(docs, mixed, position_col="at")
     assert out.columns == [*docs.columns, "at"]
+    with pytest.raises(ValueError):
+        mixing.in_training_order(docs, mixed, position_col="__At")
     rows = [r.at for part in out.rdd.glom().collect() for r in part]
     assert rows == sorted(rows) and len(rows) == sum(r.copies for r in mixed.collect())
+
+
+def test_op2_is_written_in_training_order(spark):
+    got = queries.QUERIES["op2_mixing"](spark, SF)
+    rows = [r for part in got.rdd.glom().collect() for r in part]
+    first = [-1 if r.first_position is None else r.first_position for r in rows]
+    assert first == sorted(first) and any(f > 0 for f in first)
+    assert all((r.first_position is None) == (r.copies == 0) and r.taken == r.copies * r.size for r in rows)

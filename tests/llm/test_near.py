@@ -88,6 +88,15 @@ def test_near_duplicates_of_odd_tables(docs_of):
         setsketch_dedup.near_duplicates(docs, percent=50)
 
 
+def test_slices_of_short_texts_only(docs_of, monkeypatch):
+    from wordmill.llm import wordhash
+
+    monkeypatch.setattr(wordhash, "_tables", {})
+    assert [len(x) for x in setsketch_dedup.shingle_sets(wordhash.pa.array(["zz yy", None, "", "a"]), 4)] == [1, 0, 0, 1]
+    rows = [(1, "a b c d e f g h i j"), (2, "zz yy"), (3, "Zz\tyy"), (4, "q"), (5, None), (6, " ")]
+    check_near(docs_of(rows).repartition(6), rows, 4)
+
+
 def test_op8_over_its_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = brute_near(rows, 4)
@@ -236,6 +245,19 @@ def test_op5_recall_over_its_table(spark):
     assert set(got) == set(want) and sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
 
 
+def test_a_hot_cell_of_distinct_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PACK_ROWS", 2000)
+    r = np.random.default_rng(9)
+    base = r.normal(size=32)
+    x = base + r.normal(size=(3000, 32)) * 0.05
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert want.min() > 2900 and all(got[i] == (n, 0) for i, n in enumerate(want))
+
+
 def test_nearest_lattice_points():
     y = np.random.default_rng(3).normal(size=(200, 8)) * 2
     near, other = embedding_dedup.decode_e8(y)

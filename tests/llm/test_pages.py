@@ -234,10 +234,11 @@ def test_languages(docs_of):
     odd = [(1, None), (2, ""), (3, "123 !?"), (4, TEXTS["fr"].upper()), (5, TEXTS["en"] * 3000), (6, "\x00 the lazy dog \x00"), (None, TEXTS["ja"]), (7, "é")]
     docs = docs_of(odd)
     found = language_id.identify(docs, classifier)
-    assert set(found.columns) == {*docs.columns, "lang_pred"}
+    assert set(found.columns) == set(docs.columns)  # two of these names were there before
     got = {r.doc_id: r.lang_pred for r in found.collect()}
     assert {k: got[k] for k in (1, 2, 3, 4, 5, 6, None)} == {1: "und", 2: "und", 3: "und", 4: "fr", 5: "en", 6: "en", None: "ja"}
     kept = language_id.accepted(docs, classifier)
+    assert {tuple(r)[4:] for r in kept.collect()} == {tuple(docs.first())[4:]}
     assert kept.columns == docs.columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() >= 4
     assert language_id.identify(docs.limit(0), classifier).count() == 0
 
@@ -262,6 +263,28 @@ def test_nothing_to_learn_from(docs_of):
     assert {r.lang_pred for r in language_id.identify(docs, one).collect()} == {"en", "und"}
 
 
+def test_long_texts_are_looked_at_in_parts(monkeypatch):
+    c = language_id.fit([(TEXTS[k] * 3, k) for k in TEXTS for _ in range(10)])
+    texts = [TEXTS["de"] * 50, "", "les chiens", TEXTS["en"] * 20 + TEXTS["fr"] * 80]
+    whole = c.margins(texts)[0]
+    monkeypatch.setattr(language_id, "SLICE", 1000)
+    assert np.abs(c.margins(texts)[0] - whole).max() < 0.05
+    assert c.predict(texts)[0] == ["de", "und", "fr", "fr"]
+    x = language_id.vectors("aé1 " * 3000)
+    assert len(x) == 13 and all(abs(share.sum() - 1) < 1e-5 for _, share in x)
+
+
+def test_predictions_follow_the_machines_text_by_text():
+    c = language_id.fit([(TEXTS[k] * 3, k) for k in TEXTS for _ in range(10)])
+    for text in [*TEXTS.values(), "the fox", "und les", "Über das Feld"]:
+        votes = {p: m for p, m in zip(c.pairs, c.margins([text])[0][0])}
+        wins = {f: sum(m >= 0 for (a, b), m in votes.items() if a == f and b in c.families) + sum(m < 0 for (a, b), m in votes.items() if b == f and a in c.families) for f in c.families}
+        family = max(wins, key=lambda f: (wins[f], sum(m if a == f else -m for (a, b), m in votes.items() if f in (a, b) and {a, b} <= set(c.families))))
+        inner = c.families[family]
+        inside = {k: sum(m >= 0 for (a, b), m in votes.items() if a == k and b in inner) + sum(m < 0 for (a, b), m in votes.items() if b == k and a in inner) for k in inner}
+        assert c.predict([text])[0][0] in [k for k in inner if inside[k] == max(inside.values())]
+
+
 def test_scores_of_a_text_do_not_depend_on_its_batch():
     rows = [(TEXTS[k] * 3, k) for k in TEXTS for _ in range(10)]
     c = language_id.fit(rows)

@@ -46,16 +46,28 @@ def test_stages(spark):
 
 
 def test_stages_keep_columns_and_take_odd_tables(spark, docs_of):
-    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "the lazy dog went over there and the fox too", "en", "a"), (4, "the lazy dog went over there and the fox too", "en", None), (None, "les chiens sont là avec eux et le renard aussi", "fr", "b"), (4, "x", None, "b")]
-    for table in (docs_of(rows), docs_of(rows).limit(0)):
+    en, fr = "the lazy dog went over there and the fox too", "les chiens sont là avec eux et le renard aussi"
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, en, "en", "a"), (4, en, "en", None), (None, fr, "fr", "b"), (4, "x", None, "b"), (4, en, "en", None), (5, "123 !?", "en", "a"), (6, en + " " + "word " * 40_000, "en", "a")]
+    for table, last in ((docs_of(rows), {None, 3, 6}), (docs_of(rows).limit(0), set())):
         docs = table
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             if name != "sentencepiece":
                 assert out.columns == docs.columns
-            n = out.count()
+                assert {tuple(r)[4:] for r in out.collect()} <= {tuple(r)[4:] for r in table.collect()}
             docs = out
-        assert n == 0 or table is not None
+        assert {r.doc_id for r in docs.collect()} - {4} <= last
+        assert bool(last) == bool(docs.count())
+
+
+def test_each_stage_on_odd_rows(spark, docs_of):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "a b c d e f", "en", "a"), (3, "a b c d e f", "en", "a"), (None, "a b c d e f", "en", None), (4, "A b c d e f", None, "a")]
+    ids = lambda name: sorted((r.doc_id for r in stages[name](spark, docs_of(rows), SF).collect()), key=str)
+    assert ids("exact_dedup") == [1, 3, 4]
+    assert ids("minhash_dedup") == [1, 2, 3, 3, None]
+    assert ids("sentencepiece") == [1, 2, 3, 3, 4, None]
+    assert stages["language_id"](spark, docs_of([(1, "the dog", None)]), SF).count() == 0
 
 
 def test_stages_take_characters_above_the_basic_plane(spark, docs_of):

@@ -1,12 +1,14 @@
 """Lineage cuts and files that every executor can reach.
 
 Everything goes to the folder that the session names in ``spark.checkpoint.dir``.
-Only where that setting is absent (as in tests) a folder of our own is made.
+Only where that setting is absent and all runs on one machine (as in tests) a folder of our
+own is made; on a cluster other machines could not read it.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="wordmill_")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -14,8 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.llm.attach import attach
+from wordmill.llm.names import column
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -57,13 +59,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, whole and unchanged: one of each group of equal texts.
+
+    Which one is as in ``exact_dedup``. Of rows that repeat that id too, the one with the
+    smallest hash of all columns but maps stays, so reruns agree; null text and empty text
+    are one group. No rows in, no rows out. Other columns may have any names.
 
-    Rows that repeat an id with the same text are one row afterwards; of those whose
-    other columns differ, one is taken as a whole.
+    One shuffle: a whole row travels with its text as the group's best so far, and the map side
+    sends one row for each distinct text of a task.
     """
-    kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__s"))
-    with_digest = docs.withColumn("__sha", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-    joined = with_digest.join(kept, with_digest[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s")), "left_semi")
-    return joined.dropDuplicates([id_col, "__sha"]).select(*docs.columns)
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep must be smallest or largest, not {keep!r}")
+    others = [f.name for f in docs.schema if f.name != text_col]
+    tie = F.xxhash64(*[column(f.name) for f in docs.schema if f.name != text_col and _hashable(f.dataType)], column(text_col).isNull())
+    rows = docs.select(
+        F.coalesce(column(text_col), F.lit("")).alias("body"), column(id_col).alias("id"), tie.alias("tie"),
+        F.struct(F.struct(*map(column, others)).alias("row"), column(text_col).isNull().alias("no_text")).alias("rest"),
+    )
+    best = F.min_by("rest", F.struct(F.col("id").isNull(), "id", "tie")) if keep == "smallest" else F.max_by("rest", F.struct(F.col("id").isNotNull(), "id", "tie"))
+    kept = rows.groupBy(F.unhex(F.md5("body")).alias("h"), "body").agg(best.alias("rest"))
+    text = F.when(~F.col("rest.no_text"), F.col("body")).alias(text_col)
+    return kept.select(*(text if c == text_col else F.col("rest.row")[c].alias(c) for c in docs.columns))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.llm.durable import durable
+from wordmill.llm.names import column, unused
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,10 +152,13 @@ def mix(
 def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", position_col: str = "position") -> DataFrame:
     """The documents that the mix takes, one row per copy, range-sorted by training position.
 
-    ``mixed`` is what ``mix`` returned for ``docs``; ids must be unique in ``docs``.
-    The position is added as ``position_col``.
+    ``mixed`` is what ``mix`` returned for ``docs``. The position is added as ``position_col``,
+    a name that ``docs`` must not have. Rows that repeat an id can't be told apart, so each
+    of them is taken as often as all of them together. No rows in, no rows out.
     """
-    copies = mixed.filter("copies > 0").select(mixed[id_col].alias("__id"), F.explode("positions").alias("__at"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    ordered = joined.repartitionByRange("__at", id_col).sortWithinPartitions("__at", id_col)
-    return ordered.withColumnRenamed("__at", position_col)
+    if position_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs already has a column {position_col}")
+    (taken_id,) = unused(docs, "taken_id")
+    copies = mixed.filter("copies > 0").select(column(id_col).alias(taken_id), F.explode("positions").alias(position_col))
+    joined = docs.join(copies, column(id_col).eqNullSafe(F.col(taken_id)))
+    return joined.repartitionByRange(column(position_col), column(id_col)).sortWithinPartitions(column(position_col), column(id_col)).select(*map(column, [*docs.columns, position_col]))

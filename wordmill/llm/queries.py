@@ -28,7 +28,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     ordered = mixed.repartitionByRange(F.try_element_at("positions", F.lit(1)), "doc_id").sortWithinPartitions(F.try_element_at("positions", F.lit(1)), "doc_id")
-    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+    first = F.floor(F.try_element_at("positions", F.lit(1)) * 1e9).cast("long")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position"))
 
 
 OP2_SQL = r"""
@@ -47,14 +48,24 @@ l AS (
   FROM r),
 c AS (
   SELECT *, max(CASE WHEN (budget - before)::DOUBLE / rest::DOUBLE <= ratio THEN (budget - before)::DOUBLE / rest::DOUBLE END) OVER () AS common FROM l),
-t AS (SELECT source, source_size, least(coalesce(common, 0) * weight::DOUBLE, cap::DOUBLE) AS target FROM c),
+t AS (SELECT source, weight, source_size, least(coalesce(common, 0) * weight::DOUBLE, cap::DOUBLE) AS target FROM c),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.weight, t.source_size, t.target,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::DOUBLE - d.size / 2.0 AS middle
-  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * ((middle < target)::BIGINT + (middle + source_size < target)::BIGINT + (middle + 2 * source_size < target)::BIGINT))::BIGINT AS taken
-FROM p
+  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (
+  SELECT *, (middle < target)::BIGINT + (middle + source_size < target)::BIGINT + (middle + 2 * source_size < target)::BIGINT AS wanted,
+         CASE WHEN target > 0 THEN least(middle / target, 1e0) ELSE 0e0 END AS share FROM p),
+k AS (SELECT *, CASE WHEN source_size = 0 THEN 1 WHEN size = 0 THEN least(wanted, 1) ELSE wanted END::INT AS copies FROM n),
+-- weight 5 falls from 1.5 over 1.0 to 0.5, weight 2 stays, weight 1 rises from 0.5 over 1.0 to 1.5
+q AS (
+  SELECT *, CASE WHEN weight = 5 AND share < 0.625e0 OR weight = 1 AND share < 0.375e0 OR weight = 2 THEN 0e0 ELSE 0.5e0 END AS t0,
+         greatest(share - CASE WHEN weight = 5 AND share >= 0.625e0 THEN 0.625e0 WHEN weight = 1 AND share >= 0.375e0 THEN 0.375e0 ELSE 0e0 END, 0e0) AS rest,
+         CASE WHEN weight = 5 AND share < 0.625e0 THEN 1.5e0 WHEN weight = 1 AND share < 0.375e0 THEN 0.5e0 ELSE 1e0 END AS w0,
+         CASE weight WHEN 5 THEN -1e0 WHEN 2 THEN 0e0 ELSE 1e0 END AS slope FROM k)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies,
+       CASE WHEN copies > 0 THEN floor((t0 + least(CASE WHEN rest = 0 THEN 0e0 ELSE 2e0 * rest / (w0 + sqrt(greatest(w0 * w0 + 2e0 * slope * rest, 0e0))) END, CASE weight WHEN 2 THEN 1e0 ELSE 0.5e0 END)) * 1e9) END::BIGINT AS first_position
+FROM q
 """
 
 
