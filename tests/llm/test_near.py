@@ -131,8 +131,8 @@ def brute_spans(texts, window):
         yield len(w), gone, " ".join(x for x, g in zip(w, gone) if not g)
 
 
-def check_spans(frame, rows, window):
-    got = substring_dedup.duplicate_spans(frame, window).collect()
+def check_spans(frame, rows, window, **more):
+    got = substring_dedup.duplicate_spans(frame, window, **more).collect()
     want = Counter((i, n, tuple(gone), kept) for (i, _), (n, gone, kept) in zip(rows, brute_spans([t for _, t in rows], window)))
     seen = Counter()
     for r in got:
@@ -164,6 +164,24 @@ def test_passages_shared_by_documents(docs_of):
     check_spans(docs_of(rows), rows, 35)
 
 
+@pytest.mark.parametrize("window", [3, 8])
+def test_colliding_fingerprints(docs_of, window):
+    r = random.Random(50 + window)
+    base = [r.choice("abcdefgh") * r.randint(1, 2) for _ in range(40)]
+    texts = [" ".join([f"u{i}.{j}" for j in range(r.randint(0, 30))] + base[(a := r.randint(0, 30)) : a + r.randint(1, 25)] + [r.choice("xyz") for _ in range(r.randint(0, 9))]) for i in range(60)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate([*texts, *texts[:5]])]
+    check_spans(docs_of(rows), rows, window, fingerprint_bytes=1)
+
+
+def test_factors_are_greedy_and_true():
+    numbers = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 7, 8, 1, 2, 9, 4])
+    ends = np.array([6] * 6 + [16] * 10)
+    found, wrong = substring_dedup.factor(numbers, ends, np.array([6, 7, 8, 12]), np.array([0, 1, 2, 0]), 2)
+    assert found == [(6, 0, 4), (12, 0, 2)] and wrong == []
+    found, wrong = substring_dedup.factor(numbers, ends, np.array([6, 12]), np.array([0, 0]), 3)
+    assert found == [(6, 0, 4)] and wrong == [(12, 0)]
+
+
 def test_spans_of_nothing_and_bad_windows(docs_of):
     assert substring_dedup.duplicate_spans(docs_of([(1, "a")]).limit(0)).count() == 0
     with pytest.raises(ValueError):
