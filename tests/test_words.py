@@ -126,12 +126,29 @@ def test_files_lines_and_outputs(spark, tmp_path):
     assert {tuple(r) for r in sinks.read_counts(spark, str(tmp_path / "out")).collect()} == want
     sinks.write_counts(counts.limit(0), str(tmp_path / "out"), mode="ignore")
     assert sinks.read_counts(spark, str(tmp_path / "out")).count() == len(want)
-    sinks.write_merged(counts, str(tmp_path / "one"))
-    assert len(list((tmp_path / "one").glob("part-*"))) == 1
     pid, tid = two_level(F.col("word"), 16, 5)
     sinks.write_partitioned(counts, str(tmp_path / "parts"), [pid, tid], ["pid", "tid"])
     back = sinks.read_counts(spark, str(tmp_path / "parts"))
     assert {(r.word, r.cnt) for r in back.collect()} == want and back.count() == len(want)
+    sinks.merge_outputs(spark, str(tmp_path / "parts"), str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1 and not (tmp_path / "parts").exists()
+    assert sorted(map(tuple, sinks.read_counts(spark, str(tmp_path / "one")).collect())) == sorted(want)
+
+
+def test_chunks_are_written_and_read_by_number(spark, tmp_path):
+    lines = spark.createDataFrame([(f"line {i}", i % 3, i) for i in range(20)] + [("", 0, 50)], "value string, chunk int, place long")
+    text.write_chunks(lines, str(tmp_path / "c"), 5)
+    got = [(r.file, r.value) for r in text.read_chunks(spark, str(tmp_path / "c"), 5).collect()]
+    assert sorted(got) == sorted([(f"{i % 3}.txt", f"line {i}") for i in range(20)] + [("0.txt", "")])
+    assert [v for f, v in got if f == "1.txt"] == [f"line {i}" for i in range(20) if i % 3 == 1]
+
+
+def test_counts_of_a_sample(spark):
+    """A text of our own with known numbers: 40 lines of 12 words, 9 of them distinct after normalising."""
+    lines = spark.createDataFrame([("The mill, the MILL; ground 7 sacks -- (sacks) of *** rye\tand oats. 7",)] * 40 + [("",)] * 5, "value string")
+    got = {r.word: r.cnt for r in counting.count_words(lines).collect()}
+    assert got == {"the": 80, "mill": 80, "ground": 40, "7": 80, "sacks": 80, "--": 40, "of": 40, "***": 40, "rye\tand": 40, "oats": 40}
+    assert tuple(counting.row_counters(lines).first()) == (45, 5, 560, 560, 0)
 
 
 def test_files_roll_over(spark, tmp_path):
@@ -150,7 +167,9 @@ def test_config_is_checked():
 def test_plan_counts_before_the_shuffle(spark):
     df = spark.createDataFrame([("a b",)], "value string")
     plan = counting.count_words(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "partial_count" in plan and "Python" not in plan
+    assert plan.count("Exchange") == 2 and "partial_count" in plan and "partial_sum" in plan and "Python" not in plan
+    by_bytes = counting.count_words(df, CountConfig(strip="once"))._jdf.queryExecution().executedPlan().toString()
+    assert by_bytes.count("Exchange") == 1 and "partial_count" in by_bytes
 
 
 def test_stream_equals_batch(spark, tmp_path):

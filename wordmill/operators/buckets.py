@@ -25,11 +25,12 @@ def bucket_dump(counts: DataFrame, buckets: int) -> DataFrame:
 
     A debugging view: a bucket's words stand in one row, as the format asks.
     """
-    spark = counts.sparkSession
-    held = counts.groupBy(bucket(F.col("word"), buckets).cast("long").alias("b")).agg(F.array_sort(F.collect_list(F.struct("word", "cnt"))).alias("items"))
+    # Every bucket has a row without a word. All are dealt out first: lists that grow in one task need not be merged.
+    words = counts.select(bucket(F.col("word"), buckets).cast("long").alias("bucket"), F.struct("word", "cnt").alias("item"))
+    every = counts.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(None).cast(words.schema["item"].dataType).alias("item"))
+    held = words.union(every).repartition("bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     text = F.array_join(F.transform("items", lambda x: F.concat(F.lit(" {"), x["word"], F.lit(","), x["cnt"].cast("string"), F.lit("} "))), "")
-    every = spark.range(buckets).withColumnRenamed("id", "bucket")
-    return every.join(held, every["bucket"] == held["b"], "left").select("bucket", F.concat(F.lit("H["), F.col("bucket").cast("string"), F.lit("]"), F.coalesce(text, F.lit(" NULL "))).alias("line"))
+    return held.select("bucket", F.concat(F.lit("H["), F.col("bucket").cast("string"), F.lit("]"), F.when(F.size("items") > 0, text).otherwise(" NULL ")).alias("line"))
 
 
 def shuffle_manifest(partials: DataFrame, buckets: int, rows_per_file: int = 5000) -> DataFrame:

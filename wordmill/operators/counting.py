@@ -32,9 +32,22 @@ def words_of(lines: DataFrame, *keep: str, config: CountConfig = CountConfig())
     return found.select(*keep, from_byte_view(F.col("word")).alias("word") if by_bytes else "word")
 
 
+def _counted(lines: DataFrame, keep: list[str], config: CountConfig) -> DataFrame:
+    """Counts by ``keep`` and word. Tokens are counted as they stand and only distinct ones are
+    normalised: a second, small shuffle for far fewer regular expressions. A stream, which can
+    be aggregated once only, is normalised first, and so is what is counted by bytes."""
+    if lines.isStreaming or config.line_limit is not None or config.strip == "once":
+        return words_of(lines, *keep, config=config).groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("cnt"))
+    found = split_words(lines, *keep).groupBy(*keep, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    words = found.select(*keep, "token", normalize(F.col("token"), config.strip).alias("word"), "cnt")
+    if config.max_bytes is not None:
+        words = words.filter(fits(F.col("token"), F.col("word"), config.max_bytes))
+    return words.groupBy(*keep, "word").agg(F.sum("cnt").alias("cnt"))
+
+
 def count_words(lines: DataFrame, config: CountConfig = CountConfig()) -> DataFrame:
     """word, cnt. Spark counts inside each task before it shuffles."""
-    return words_of(lines, config=config).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return _counted(lines, [], config)
 
 
 def count_column(table: DataFrame, text: str, config: CountConfig = CountConfig()) -> DataFrame:
@@ -43,7 +56,7 @@ def count_column(table: DataFrame, text: str, config: CountConfig = CountConfig(
 
 def partial_counts(lines: DataFrame, mapper: str, config: CountConfig = CountConfig()) -> DataFrame:
     """mapper, word, cnt: what each mapper would send on."""
-    return words_of(lines, mapper, config=config).groupBy(F.col(mapper).alias("mapper"), "word").agg(F.count(F.lit(1)).alias("cnt"))
+    return _counted(lines, [mapper], config).withColumnRenamed(mapper, "mapper")
 
 
 def merge_counts(partials: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from wordmill.functions.words import ascii_lower, byte_view, count_row, normaliz
 from wordmill.operators import buckets, counting
 from wordmill.plans import grid
 from wordmill.sources import sinks, text
+from wordmill.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,10 +236,54 @@ def parse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("merged_output", _counts_sql())
 def merged_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of all (process, thread) outputs is the whole result."""
-    pid, tid = two_level(F.col("word"), 16, 5)
-    parts = _counts(spark, sf_dir).select(pid.alias("pid"), tid.alias("tid"), count_row(F.col("word"), F.col("cnt")).alias("value"))
-    return sinks.parse_counts(parts.repartition("pid", "tid")).select("word", "cnt")
+    """The files of all (process, thread) outputs, merged into one and read back."""
+    parts, path = scratch_path(spark, "parts"), scratch_path(spark, "merged")
+    sinks.write_partitioned(_counts(spark, sf_dir), parts, list(two_level(F.col("word"), 16, 5)), ["pid", "tid"])
+    sinks.merge_outputs(spark, parts, path)
+    return sinks.read_counts(spark, path)
+
+
+@_query("reducer_files", f"SELECT word, cnt, ({_HASH} % 10)::INT AS bucket FROM ({_counts_sql()})")
+def reducer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of 10 reducers, a folder each, read back with the reducer that wrote them."""
+    path = scratch_path(spark, "reducers")
+    sinks.write_partitioned(_counts(spark, sf_dir), path, bucket(F.col("word"), 10), ["bucket"])
+    return sinks.read_counts(spark, path)
+
+
+@_query("rolled_files", f"SELECT bucket, count(*)::BIGINT AS words, ceil(count(*) / 5000.0)::BIGINT AS n_files FROM (SELECT ({_HASH} % 5)::INT AS bucket FROM ({_counts_sql()})) GROUP BY bucket")
+def rolled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that reducers begin anew after 5000 words: what lies on disk."""
+    path = scratch_path(spark, "rolled")
+    sinks.write_partitioned(_counts(spark, sf_dir), path, bucket(F.col("word"), 5), ["bucket"], rows_per_file=CountConfig().rows_per_file)
+    rows = spark.read.text(path, lineSep="\n").select("bucket", F.col("_metadata.file_path").alias("file"))
+    per_file = rows.groupBy("bucket", "file").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.groupBy("bucket").agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("n_files"))
+
+
+@_query("written_once", _counts_sql())
+def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finished output stays as it is when the same run is submitted again."""
+    path, counts = scratch_path(spark, "once"), _counts(spark, sf_dir)
+    sinks.write_counts(counts, path, mode="ignore")
+    sinks.write_counts(counts.withColumn("cnt", F.col("cnt") + 1), path, mode="ignore")
+    return sinks.read_counts(spark, path)
+
+
+@_query(
+    "chunk_files_wordcount",
+    f"""SELECT chunk || '.txt' AS file, word, count(*)::BIGINT AS cnt FROM (
+    SELECT chunk, {_NORM} AS word FROM (SELECT chunk, unnest(string_split(value, ' ')) AS token FROM (
+      SELECT value, CASE WHEN n < 20 THEN 19 ELSE least((rn - 1) // (n // 20), 19) END::INT AS chunk
+      FROM (SELECT value, row_number() OVER (ORDER BY doc_id, line_no) AS rn, count(*) OVER () AS n FROM ({_lines_sql()})))) WHERE token <> '')
+    WHERE strlen(word) <= 70 GROUP BY ALL""",
+)
+def chunk_files_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as 20 files named by number, and the words of each counted."""
+    lines = _lines(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value")
+    chunks, folder = text.chunk_of(lines, ["doc_id", "line_no"], 20), scratch_path(spark, "chunks")
+    text.write_chunks(chunks.select("value", "chunk", F.struct("doc_id", "line_no").alias("place")), folder, 20)
+    return counting.partial_counts(text.read_chunks(spark, folder, 20), "file").withColumnRenamed("mapper", "file")
 
 
 @_query("bucket_rows", f"SELECT word, cnt, ({_HASH} % 10)::INT AS bucket FROM ({_counts_sql()})")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.functions.words import count_row
+from wordmill.sources.scratch import remove
 
 
 def write_counts(counts: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int | None = None) -> None:
@@ -17,16 +18,18 @@ def write_counts(counts: DataFrame, path: str, mode: str = "errorifexists", rows
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).text(path, lineSep="\n")
 
 
-def write_partitioned(counts: DataFrame, path: str, buckets: Column | list[Column], names: list[str], mode: str = "errorifexists") -> None:
-    """A folder for each bucket; every word lies in exactly one."""
+def write_partitioned(counts: DataFrame, path: str, buckets: Column | list[Column], names: list[str], mode: str = "errorifexists", rows_per_file: int | None = None) -> None:
+    """A folder for each bucket; every word lies in exactly one. A new file is begun after ``rows_per_file`` rows."""
     columns = buckets if isinstance(buckets, list) else [buckets]
     rows = counts.select(count_row(F.col("word"), F.col("cnt")).alias("value"), *[c.alias(n) for c, n in zip(columns, names)])
-    rows.repartition(*names).write.mode(mode).partitionBy(*names).text(path, lineSep="\n")
+    writer = rows.repartition(*names).write.mode(mode).partitionBy(*names)
+    (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).text(path, lineSep="\n")
 
 
-def write_merged(counts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One file. All rows pass through one task: for results that a reader wants whole."""
-    counts.select(count_row(F.col("word"), F.col("cnt")).alias("value")).coalesce(1).write.mode(mode).text(path, lineSep="\n")
+def merge_outputs(spark: SparkSession, parts: str, path: str, mode: str = "errorifexists") -> None:
+    """One file with the rows of all files below ``parts``, which go. One task copies lines; nothing is computed there."""
+    spark.read.option("recursiveFileLookup", "true").text(parts, lineSep="\n").coalesce(1).write.mode(mode).text(path, lineSep="\n")
+    remove(spark, parts)
 
 
 def parse_counts(rows: DataFrame) -> DataFrame:

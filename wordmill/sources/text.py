@@ -16,8 +16,23 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    """Lines of ``folder/0.txt`` to ``folder/<n-1>.txt`` with their file in ``file``; a missing file is an error."""
-    return read_lines(spark, [f"{folder}/{i}.txt" for i in range(n)]).withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), "([^/]+)$", 1))
+    """Lines of ``folder/0.txt`` to ``folder/<n-1>.txt`` with their chunk's name in ``file``; a missing one is an error."""
+    return read_lines(spark, [f"{folder}/{i}.txt" for i in range(n)]).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+[.]txt)(?:/[^/]*)?$", 1))
+
+
+def write_chunks(lines: DataFrame, folder: str, n: int) -> None:
+    """Lines (``value``, ``chunk`` from 0 to n-1, ``place`` inside it) as ``folder/<chunk>.txt``; a
+    chunk without lines is an empty one. Each is written by one task and named when it is whole."""
+    lines.repartition(n, "chunk").sortWithinPartitions("chunk", "place").select("value", "chunk").write.partitionBy("chunk").text(folder, lineSep="\n")
+    spark = lines.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, name)
+    for i in range(n):
+        if store.exists(path(f"chunk={i}")):
+            store.rename(path(f"chunk={i}"), path(f"{i}.txt"))
+        else:
+            store.mkdirs(path(f"{i}.txt"))
 
 
 def column_lines(table: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -36,9 +51,9 @@ def cut_lines(value: Column, limit: int) -> Column:
     A line and its ``\\n`` are cut together, so a left-over of just ``\\n`` becomes an empty
     row, which ``nonblank`` drops.
     """
-    v = F.concat(byte_view(value), F.lit("\n"))
-    cuts = F.sequence(F.lit(0), F.floor((F.length(v) - 1) / limit).cast("int"))
-    return F.transform(cuts, lambda i: F.regexp_replace(F.substring(v, i * limit + 1, F.lit(limit)), r"\n\z", ""))
+    v = byte_view(value)
+    cuts = F.sequence(F.lit(0), F.floor(F.length(v) / limit).cast("int"))
+    return F.transform(cuts, lambda i: F.substring(v, i * limit + 1, F.lit(limit)))
 
 
 def first_lines(lines: DataFrame, order: list[str], cap: int = 50) -> DataFrame:
