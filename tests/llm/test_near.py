@@ -76,6 +76,40 @@ def test_clusters_larger_than_a_block(docs_of, monkeypatch):
     check_near(docs_of(rows), rows, 5)
 
 
+def test_stars_of_many_parts_and_pure_blocks(docs_of, monkeypatch):
+    for name, value in (("BLOCK", 8), ("STAR_PART", 2000), ("STAR_LOAD", 4000)):
+        monkeypatch.setattr(setsketch_dedup, name, value)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    # near the threshold: many copies are linked with the base but not with each other
+    texts = [" ".join(base), *family(r, base, 60, 0.022), *family(r, base, 30, 0.005), *family(r, base, 20, 0.06)]
+    rows = list(enumerate(r.sample(texts, len(texts))))
+    check_near(docs_of(rows), rows, 5)
+
+
+def test_blocks_of_one_tag_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(setsketch_dedup, "BLOCK", 4)
+    rows = [(i, 0, 0 if i < 20 else i, 1, bytes([i])) for i in range(23)] + [(100 + i, 1, 1, 1, b"x") for i in range(9)] + [(200 + i, 2, 200 + i, 1, b"y") for i in range(3)]
+    members = spark.createDataFrame(rows, "rep long, cluster long, tag long, n long, payload binary")
+
+    def linked(n, payloads):
+        return np.ones((len(n), len(n)), dtype=bool)
+
+    got = {(r.a, r.b) for r in setsketch_dedup.within_clusters(members, "payload", linked, "test").collect()}
+    assert all(b < a for a, b in got) and {a for a, b in got if a < 100} >= {20, 21, 22}
+    assert not [a for a, b in got if 100 <= a < 200]
+    assert {a for a, b in got if a >= 200} == {201, 202}
+    assert set(joined(23, [(a, b) for a, b in got if a < 23])) == {0}
+
+
+def test_rows_that_repeat_an_id_with_other_texts(docs_of):
+    base = [f"w{i}" for i in range(80)]
+    near = " ".join([*base[:79], "x"])
+    rows = [(1, " ".join(base)), (1, " ".join(f"v{i}" for i in range(80))), (2, near), (3, " ".join([*(f"v{i}" for i in range(79)), "y"])), (4, "z z z z z z z")]
+    got = {(r.doc_id, r.component_id) for r in setsketch_dedup.near_duplicates(docs_of(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_near_duplicates_of_odd_tables(docs_of):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, None), (4, "a b c d e f")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch_dedup.near_duplicates(docs_of(rows)).collect()), key=str)

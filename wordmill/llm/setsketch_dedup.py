@@ -7,17 +7,23 @@
 * Documents with the same set are one class from here on, represented by the smallest id.
 * Registers are cut into ``BANDS`` bands of ``ROWS``; classes that share a band meet in a
   bucket. At similarity 0.8 a pair shares no bucket with probability
-  (1 - 0.8**7)**50 < 1e-5. Each member of a bucket is tied to the bucket's smallest id,
-  never to all others; the components of these ties are candidate clusters.
-* Inside a cluster, all pairs are estimated from registers and set sizes jointly by maximum
-  likelihood; pairs more than ``MARGIN`` below the threshold are dropped, which
-  splits clusters that only chance or shared passages held together.
-* What remains is verified on the full sets, all pairs of a cluster at once by matrix
-  products; only a spanning forest of the links leaves a task.
-
-A cluster of more than ``BLOCK`` classes is dealt into blocks, and each pair of blocks is a
-task of its own. So no task holds more than two blocks, no pair is skipped, and hot
-groups of equal documents cost one class.
+  (1 - 0.8**7)**50 < 1e-5.
+* *Stars.* Each member of a bucket is tied to the bucket's smallest id. Ties are estimated
+  from registers and set sizes jointly by maximum likelihood; those not more than ``MARGIN``
+  below the threshold are likely. Of its likely ties each class has the best one verified
+  on the full sets. So one comparison a class joins most near-copies under one tag.
+* *The rest.* Only buckets whose members still have different tags hold pairs that could
+  join anything more. Members of such buckets form candidate clusters by the same ties. In
+  a cluster, pairs of different tags are estimated, which splits clusters that only
+  chance or shared passages held together, and then verified by matrix products; only a
+  spanning forest of the links leaves a task.
+
+A star is cut into parts of bounded size, each with a copy of its centre. A cluster of more
+than ``BLOCK`` classes is dealt into blocks; a tag of more than ``BLOCK`` members has
+blocks of its own, which are never compared with each other. Each other pair of blocks is a
+task of its own. So no task holds more than two blocks, no pair that could matter is skipped,
+a large group of near-copies costs its members, not their pairs, and hot groups of equal
+documents cost one class.
 """
 
 from __future__ import annotations
@@ -43,6 +49,9 @@ BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: Six standard deviations of the estimate at the threshold.
 MARGIN = 6 * (0.16 / REGISTERS) ** 0.5
 BLOCK = 256
+#: What one call judges of stars: shingles (and ``_TIE`` for each tie) in all, and at most in one part.
+STAR_LOAD, STAR_PART = 500_000, 250_000
+_TIE = 64
 _PIECE = 512
 #: Bytes of text that are hashed at once.
 SLICE = 3_000_000
@@ -181,20 +190,82 @@ def _verified(percent: int) -> Callable[[np.ndarray, list[bytes]], np.ndarray]:
     return linked
 
 
+def star_links(ties: DataFrame, payloads: DataFrame, judge: Callable[[pa.Table, np.ndarray], np.ndarray]) -> DataFrame:
+    """ties (a, b, load) and payloads (rep, n, payload) → (a, b, score) of ties with a score.
+
+    ``judge`` gets rows and, for each, the place of its star's centre ``b``; it returns scores,
+    NaN for none. A star is cut into parts, and parts are packed, by the loads of their ties.
+    """
+    packs = max(1, -(-(ties.agg(F.sum("load")).first()[0] or 0) // STAR_LOAD))
+    parts = ties.groupBy("b").agg(F.ceil(F.sum("load") / STAR_PART).cast("int").alias("parts"))
+    dealt = ties.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    names = [F.pmod(F.xxhash64("b", "part"), F.lit(packs)).cast("int").alias("pack"), "b", "part", "rep", "n", "payload"]
+    members = dealt.join(payloads, F.col("a") == F.col("rep")).select(*names)
+    centres = dealt.select("b", "part").distinct().join(payloads, F.col("b") == F.col("rep")).select(*names)
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, b, part = (table.column(c).to_numpy() for c in ("rep", "b", "part"))
+        order = np.lexsort((table.column("n").to_numpy(), rep != b, part, b))
+        table, rep, b, part = table.take(pa.array(order)), rep[order], b[order], part[order]
+        fresh = np.concatenate([[True], (b[1:] != b[:-1]) | (part[1:] != part[:-1])])
+        score = judge(table, np.flatnonzero(fresh)[np.cumsum(fresh) - 1])
+        good = ~np.isnan(score) & ~fresh
+        return pa.table({"a": rep[good], "b": b[good], "score": score[good]})
+
+    return members.union(centres).groupBy("pack").applyInArrow(run, "a long, b long, score double")
+
+
+def _star_estimates(limit: float) -> Callable[[pa.Table, np.ndarray], np.ndarray]:
+    def judge(table: pa.Table, centre: np.ndarray) -> np.ndarray:
+        k = np.frombuffer(b"".join(table.column("payload").to_pylist()), dtype="<u2").reshape(table.num_rows, REGISTERS)
+        n = table.column("n").to_numpy().astype(float)
+        found = joint_estimate(n, n[centre], (k > k[centre]).sum(axis=1), (k < k[centre]).sum(axis=1))
+        return np.where(found >= limit, found, np.nan)
+
+    return judge
+
+
+def _star_verified(size: int, percent: int) -> Callable[[pa.Table, np.ndarray], np.ndarray]:
+    def judge(table: pa.Table, centre: np.ndarray) -> np.ndarray:
+        out, of = np.full(table.num_rows, np.nan), np.zeros(0, np.uint64)
+        at = 0
+        for batch in slices(table.select(["payload"]).to_batches(), "payload", SLICE):
+            for found in shingle_sets(batch.column("payload"), size):
+                if centre[at] == at:
+                    of = found
+                else:
+                    common = int((of[np.minimum(np.searchsorted(of, found), len(of) - 1)] == found).sum())
+                    union = len(of) + len(found) - common
+                    if 100 * common >= percent * union:
+                        out[at] = common / union
+                at += 1
+        return out
+
+    return judge
+
+
 def within_clusters(members: DataFrame, payload: str, linked: Callable[[np.ndarray, list[bytes]], np.ndarray], label: str) -> DataFrame:
-    """members (rep, cluster, size, n, payload) → (rep, component) of the links in clusters.
+    """members (rep, cluster, tag, n, payload) → links (a, b) that span those in clusters.
 
-    Clusters of at most ``BLOCK`` are one task's group each; of larger ones every pair of
-    blocks is. A row is sent once for each block of its own cluster.
+    Members of equal ``tag`` are known to belong together. Clusters of at most ``BLOCK`` are one
+    task's group each. Larger ones have blocks: tags of more than ``BLOCK`` members their own,
+    all other tags common ones; every pair of blocks is a group but for those of one tag.
     """
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
-        members.select("rep", "cluster", "n", F.col(payload).alias("payload"), blocks.alias("blocks"))
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select("rep", "cluster", "n", "payload", "blocks", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"))
-    )
+    members = members.select("rep", "cluster", "tag", "n", F.col(payload).alias("payload"))
+    sizes = members.groupBy("cluster", "tag").agg(F.count(F.lit(1)).alias("k"))
+    own = F.when(F.col("k") > BLOCK, F.col("tag")).alias("own")
+    kinds = sizes.select("cluster", own, "k").groupBy("cluster", "own").agg(F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"))
+    kinds = durable(kinds, f"{label}-blocks")
+    owns = kinds.filter("own IS NOT NULL").select("cluster", F.col("own").alias("tag"), F.col("blocks").alias("own_blocks"))
+    common = kinds.filter("own IS NULL").select("cluster", "blocks")
+    block = F.struct(F.when(F.col("own_blocks").isNotNull(), F.col("tag")).alias("own"), F.pmod(F.xxhash64("rep"), F.coalesce("own_blocks", "blocks")).cast("int").alias("i"))
+    placed = members.join(owns, ["cluster", "tag"], "left").join(common, "cluster", "left").select("rep", "cluster", "n", "payload", block.alias("block"))
+    every = kinds.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "own").select("cluster", F.struct("own", "i").alias("block"))
+    same = F.col("b1.own").isNotNull() & F.col("b1.own").eqNullSafe(F.col("b2.own"))
+    pairs = durable(every.withColumnRenamed("block", "b1").join(every.withColumnRenamed("block", "b2"), "cluster").filter((F.col("b1") <= F.col("b2")) & ~same), f"{label}-pairs")
+    sent = pairs.select("cluster", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    key = lambda c: F.xxhash64(F.col("cluster"), F.coalesce(f"{c}.own", F.lit(-1)), F.col(f"{c}.own").isNull(), F.col(f"{c}.i"))
+    dealt = placed.withColumn("at", key("block")).join(sent.withColumn("at", key("block")).drop("block"), ["cluster", "at"]).select("rep", "cluster", "n", "payload", "b1", "b2")
 
     def run(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
@@ -203,24 +274,17 @@ def within_clusters(members: DataFrame, payload: str, linked: Callable[[np.ndarr
         n = table.column("n").to_numpy()[order]
         payloads = table.column("payload").to_pylist()
         roots = _forest(linked(n, [payloads[i] for i in order]))
-        return pa.table({"a": rep, "b": rep[roots], "blocks": pa.array(np.full(len(rep), table.column("blocks")[0].as_py()), pa.int32())})
+        far = roots != np.arange(len(rep))
+        return pa.table({"a": rep[far], "b": rep[roots[far]]})
 
-    found = durable(dealt.groupBy("cluster", "b1", "b2").applyInArrow(run, "a long, b long, blocks int"), f"{label}-forest")
-    small = found.filter("blocks = 1").select(F.col("a").alias("rep"), F.col("b").alias("component"))
-    large = found.filter("blocks > 1 AND a <> b")
-    if large.limit(1).count() == 0:
-        alone = found.filter("blocks > 1").select(F.col("a").alias("rep"), F.col("a").alias("component")).distinct()
-        return small.union(alone)
-    joined = components(large.select("a", "b"), label)
-    rest = found.filter("blocks > 1").select("a").distinct().join(joined, F.col("a") == F.col("v"), "left")
-    return small.union(rest.select(F.col("a").alias("rep"), F.coalesce("component", "a").alias("component")))
+    return durable(dealt.groupBy("cluster", "b1", "b2").applyInArrow(run, "a long, b long"), f"{label}-forest")
 
 
-def _clusters(found: DataFrame, label: str) -> DataFrame:
-    """(rep, component) → (rep, cluster, size) for components of two and more."""
-    found = durable(found, label)
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return found.join(durable(sizes, f"{label}-sizes"), "component").select("rep", F.col("component").alias("cluster"), "size")
+def _ties(buckets: DataFrame, heads: DataFrame) -> DataFrame:
+    """(rep, head) → at most a tie a row that hold buckets together: a class stays tied to its smallest head, and so do its other heads."""
+    tied = buckets.join(heads, "key").filter("rep <> head").groupBy("rep").agg(F.collect_set("head").alias("heads"))
+    lowest = tied.withColumn("b", F.array_min("heads")).withColumn("head", F.explode("heads"))
+    return lowest.select(F.when(F.col("head") == F.col("b"), F.col("rep")).otherwise(F.col("head")).alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -246,25 +310,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = durable(_buckets(classes), "buckets")
     heads = durable(buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "head"), "heads")
-    # A class has at most BANDS heads. It stays tied to the smallest, and so do its other heads.
-    tied = buckets.join(heads, "key").filter("rep <> head").groupBy("rep").agg(F.collect_set("head").alias("heads"))
-    lowest = tied.withColumn("b", F.array_min("heads")).withColumn("head", F.explode("heads"))
-    ties = lowest.select(F.when(F.col("head") == F.col("b"), F.col("rep")).otherwise(F.col("head")).alias("a"), "b")
-    candidates = _clusters(components(ties, "candidates").select(F.col("v").alias("rep"), "component"), "candidate-clusters")
-
-    estimated = within_clusters(candidates.join(classes, "rep"), "sketch", _estimated(percent / 100 - MARGIN), "estimated")
-    likely = durable(_clusters(estimated, "likely-clusters"), "likely")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE):
-            found = list(shingle_sets(b.column("text"), shingle))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("cluster"), b.column("size"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["rep", "cluster", "size", "n", "set"])
-
-    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
-    with_sets = texts.join(likely, "rep").select("rep", "cluster", "size", "text").mapInArrow(sets, "rep long, cluster long, size long, n long, set binary")
-    verified = durable(within_clusters(with_sets, "set", _verified(percent), "verified"), "verified")
-
-    joined = durable(reps.join(verified, "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component")), "class-components")
+    limit = percent / 100 - MARGIN
+    ties = durable(buckets.join(heads, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), "ties")
+    sketches = classes.select("rep", "n", F.col("sketch").alias("payload"))
+    likely = star_links(ties.withColumn("load", F.lit(2 * _TIE)), sketches, _star_estimates(limit))
+    best = likely.groupBy("a").agg(F.max_by("b", F.struct("score", F.negative("b"))).alias("b"))
+    best = durable(best.join(classes.select(F.col("rep").alias("a"), (F.col("n") + _TIE).alias("load")), "a"), "best-ties")
+    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("payload"))
+    ends = best.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    # Here ``n`` only orders texts that share an id.
+    needed = durable(texts.join(ends, "rep").select("rep", F.xxhash64("payload").alias("n"), "payload").distinct(), "tied-texts")
+    stars = durable(star_links(best, needed, _star_verified(shingle, percent)).select("a", "b"), "stars")
+    tags = components(stars, "tags").withColumnsRenamed({"v": "rep", "component": "tag"})
+
+    # What the stars left: buckets of several tags.
+    tagged = buckets.join(tags, "rep", "left").select("rep", "key", F.coalesce("tag", "rep").alias("tag"))
+    open_heads = durable(tagged.groupBy("key").agg(F.min("rep").alias("head"), F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high").select("key", "head"), "open-heads")
+    joined = reps.join(tags, "rep", "left").select(*same, F.coalesce("tag", "rep").alias("component"))
+    if open_heads.limit(1).count():
+        tag = F.coalesce("tag", "rep").alias("tag")
+
+        def clusters(links: DataFrame, name: str) -> DataFrame:
+            found = components(links, name).select(F.col("v").alias("rep"), F.col("component").alias("cluster"))
+            return found.join(tags, "rep", "left").select("rep", "cluster", tag)
+
+        candidates = durable(clusters(_ties(buckets, open_heads), "candidates"), "candidate-clusters")
+        estimated = within_clusters(candidates.join(classes, "rep"), "sketch", _estimated(limit), "estimated")
+        members = durable(clusters(estimated, "likely"), "likely-clusters")
+
+        def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "payload", SLICE):
+                found = list(shingle_sets(b.column("payload"), shingle))
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("cluster"), b.column("tag"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["rep", "cluster", "tag", "n", "set"])
+
+        with_sets = texts.join(members, "rep").select("rep", "cluster", "tag", "payload").mapInArrow(sets, "rep long, cluster long, tag long, n long, set binary")
+        links = within_clusters(with_sets, "set", _verified(percent), "verified")
+        ends = members.select("rep", "tag").distinct()
+        across = links.join(ends.withColumnsRenamed({"rep": "a", "tag": "ta"}), "a").join(ends.withColumnsRenamed({"rep": "b", "tag": "tb"}), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        further = components(across.filter("a <> b"), "verified").withColumnsRenamed({"v": "tag", "component": "further"})
+        joined = joined.withColumnRenamed("component", "tag").join(further, "tag", "left").select(*same, F.coalesce("further", "tag").alias("component"))
+
+    joined = durable(joined, "class-components")
     rows = sketched.join(joined, same, "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
