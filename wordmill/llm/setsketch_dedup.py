@@ -311,7 +311,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = durable(_buckets(classes), "buckets")
     heads = durable(buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "head"), "heads")
     limit = percent / 100 - MARGIN
-    ties = durable(buckets.join(heads, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), "ties")
+    # Only buckets of two and more go on, which most classes' buckets are not.
+    shared = durable(buckets.join(heads, "key"), "shared-buckets")
+    ties = durable(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), "ties")
     sketches = classes.select("rep", "n", F.col("sketch").alias("payload"))
     likely = star_links(ties.withColumn("load", F.lit(2 * _TIE)), sketches, _star_estimates(limit))
     best = likely.groupBy("a").agg(F.max_by("b", F.struct("score", F.negative("b"))).alias("b"))
@@ -324,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tags = components(stars, "tags").withColumnsRenamed({"v": "rep", "component": "tag"})
 
     # What the stars left: buckets of several tags.
-    tagged = buckets.join(tags, "rep", "left").select("rep", "key", F.coalesce("tag", "rep").alias("tag"))
+    tagged = shared.join(tags, "rep", "left").select("rep", "key", F.coalesce("tag", "rep").alias("tag"))
     open_heads = durable(tagged.groupBy("key").agg(F.min("rep").alias("head"), F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high").select("key", "head"), "open-heads")
     joined = reps.join(tags, "rep", "left").select(*same, F.coalesce("tag", "rep").alias("component"))
     if open_heads.limit(1).count():
@@ -334,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = components(links, name).select(F.col("v").alias("rep"), F.col("component").alias("cluster"))
             return found.join(tags, "rep", "left").select("rep", "cluster", tag)
 
-        candidates = durable(clusters(_ties(buckets, open_heads), "candidates"), "candidate-clusters")
+        candidates = durable(clusters(_ties(shared.drop("head"), open_heads), "candidates"), "candidate-clusters")
         estimated = within_clusters(candidates.join(classes, "rep"), "sketch", _estimated(limit), "estimated")
         members = durable(clusters(estimated, "likely"), "likely-clusters")
 
