@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from helpers import SF
 
-from wordmill.llm import embedding_dedup, queries, setsketch_dedup, substring_dedup
+from wordmill.llm import bitmap, embedding_dedup, queries, setsketch_dedup, substring_dedup
 from wordmill.llm.components import components
 from wordmill.llm.wordhash import Words, runs
 
@@ -137,6 +137,52 @@ def test_op8_over_its_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op8_minhash"](spark, SF).collect()} == want
 
 
+def shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    words = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(4000)]
+    texts = [" ".join(r.choices(words, k=600)) for _ in range(300)]
+    texts[200] = texts[7] + " more"
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    # as on tables too large to broadcast
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        at = shuffled(spark)
+        check_near(docs, rows, 4)
+        few = shuffled(spark) - at
+        monkeypatch.setattr(bitmap, "MOST_BITS", 0)
+        check_near(docs, rows, 4)
+        every = shuffled(spark) - at - few
+    finally:
+        spark.conf.set(name, before)
+    # Either way the result is whole; without bitmaps all texts, registers and bucket names go to the joins.
+    assert few < 1_500_000 < 3_000_000 < every
+
+
+def test_bitmaps_lose_no_row(spark, monkeypatch):
+    keys = [*range(-500, 500), -(2**63), 2**63 - 1]
+    frame = spark.createDataFrame([(k,) for k in keys], "key long")
+    rows = spark.createDataFrame([(k,) for k in [*keys, *range(10_000, 30_000), None]], "rep long")
+    got = [x.rep for x in bitmap.likely_rows(rows, "rep", bitmap.bitmap(frame)).collect()]
+    assert set(keys) <= set(got) and None not in got and len(got) < len(keys) + 2500
+    monkeypatch.setattr(bitmap, "MOST_BITS", 1024)
+    got = [x.rep for x in bitmap.likely_rows(rows, "rep", bitmap.bitmap(frame)).collect()]
+    assert set(keys) <= set(got)
+    monkeypatch.setattr(bitmap, "MOST_BITS", 1000)
+    assert bitmap.bitmap(frame) is None and bitmap.likely_rows(rows, "rep", None).count() == rows.count()
+    monkeypatch.undo()
+    assert bitmap.likely_rows(rows, "rep", bitmap.bitmap(frame.limit(0))).count() == 0
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 2**63, 900).astype(np.uint64), r.integers(0, 2**63, 300).astype(np.uint64)

@@ -32,10 +32,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm.arrow_slices import slices, small_batches
+from wordmill.llm.bitmap import bitmap, likely_rows, may_hold
 from wordmill.llm.components import components
 from wordmill.llm.durable import durable
 from wordmill.llm.names import column, unused
@@ -130,12 +132,18 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, SKETCHED)
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame, likely: Broadcast | None = None) -> DataFrame:
+    """(rep, key) of all buckets, or without most of those that the bitmap does not have."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype="<u2").reshape(b.num_rows, REGISTERS))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), BANDS)), pa.array(keys.reshape(-1))], names=["rep", "key"])
+                keys = band_keys(np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype="<u2").reshape(b.num_rows, REGISTERS)).reshape(-1)
+                reps = np.repeat(b.column("rep").to_numpy(), BANDS)
+                if likely is not None:
+                    take = may_hold(likely.value, keys)
+                    reps, keys = reps[take], keys[take]
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(keys)], names=["rep", "key"])
 
     return classes.select("rep", "sketch").mapInArrow(run, "rep long, key long")
 
@@ -308,21 +316,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The class's smallest id brings its registers; equal sets have equal registers.
     classes = durable(own.join(reps, (own["id"] == reps["rep"]) & (own["n"] == reps["n"]) & (own["sig1"] == reps["sig1"]) & (own["sig2"] == reps["sig2"])).select("rep", own["n"], "sketch"), "class-sketches")
 
-    buckets = durable(_buckets(classes), "buckets")
-    heads = durable(buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "head"), "heads")
+    heads = durable(_buckets(classes).groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "head"), "heads")
     limit = percent / 100 - MARGIN
-    # Only buckets of two and more go on, which most classes' buckets are not.
-    shared = durable(buckets.join(heads, "key"), "shared-buckets")
+    # Only buckets of two and more go on, which most classes' buckets are not, and of classes those in them.
+    shared = durable(_buckets(classes, bitmap(heads.select("key"))).join(heads, "key"), "shared-buckets")
+    met = durable(shared.select("rep").distinct(), "met")
+    in_met = bitmap(met)
+    sketches = durable(likely_rows(classes, "rep", in_met).join(met, "rep"), "met-sketches")
+    texts = likely_rows(docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("payload")), "rep", in_met)
+    # Here ``n`` only orders texts that share an id.
+    texts = durable(texts.join(met, "rep").select("rep", F.xxhash64("payload").alias("n"), "payload").distinct(), "met-texts")
     ties = durable(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), "ties")
-    sketches = classes.select("rep", "n", F.col("sketch").alias("payload"))
-    likely = star_links(ties.withColumn("load", F.lit(2 * _TIE)), sketches, _star_estimates(limit))
+    likely = star_links(ties.withColumn("load", F.lit(2 * _TIE)), sketches.withColumnRenamed("sketch", "payload"), _star_estimates(limit))
     best = likely.groupBy("a").agg(F.max_by("b", F.struct("score", F.negative("b"))).alias("b"))
-    best = durable(best.join(classes.select(F.col("rep").alias("a"), (F.col("n") + _TIE).alias("load")), "a"), "best-ties")
-    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("payload"))
-    ends = best.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    # Here ``n`` only orders texts that share an id.
-    needed = durable(texts.join(ends, "rep").select("rep", F.xxhash64("payload").alias("n"), "payload").distinct(), "tied-texts")
-    stars = durable(star_links(best, needed, _star_verified(shingle, percent)).select("a", "b"), "stars")
+    best = durable(best.join(sketches.select(F.col("rep").alias("a"), (F.col("n") + _TIE).alias("load")), "a"), "best-ties")
+    stars = durable(star_links(best, texts, _star_verified(shingle, percent)).select("a", "b"), "stars")
     tags = components(stars, "tags").withColumnsRenamed({"v": "rep", "component": "tag"})
 
     # What the stars left: buckets of several tags.
@@ -337,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return found.join(tags, "rep", "left").select("rep", "cluster", tag)
 
         candidates = durable(clusters(_ties(shared.drop("head"), open_heads), "candidates"), "candidate-clusters")
-        estimated = within_clusters(candidates.join(classes, "rep"), "sketch", _estimated(limit), "estimated")
+        estimated = within_clusters(candidates.join(sketches, "rep"), "sketch", _estimated(limit), "estimated")
         members = durable(clusters(estimated, "likely"), "likely-clusters")
 
         def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
